@@ -24,6 +24,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from gristmill.llm import packing
+
+    return packing.pack(read(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import substring
+
+    return substring.digests(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
@@ -43,10 +57,21 @@ b as (select *, (case when n_words < 10 then 1 else 0 end + case when 100 * n_re
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, n_lines, failed_bits from b
 """
 
+OP9_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as p from w where len(ws) >= 50),
+g as (select doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as h from s),
+m as (select h, min(doc_id) as least from g group by 1),
+c as (select distinct doc_id, unnest(range(p, p + 50)) as pos from g join m using (h) where doc_id > least),
+x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+k as (select x.doc_id, count(c.pos) as n_removed, coalesce(string_agg(case when c.pos is null then word end, ' ' order by x.pos), '') as kept from x left join c using (doc_id, pos) group by 1)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op7_simhash": op7_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op9_substring_dedup": OP9_SQL}

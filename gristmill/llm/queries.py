@@ -17,12 +17,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~q.passes(q.BASE)).alias("base_failed"), q.passes(q.CURRENT).alias("kept"), "n_lines", "failed_bits")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import html_extract
+
+    return html_extract.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm import mixing
 
     return mixing.amounts(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import langid
+
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm import simhash
 
@@ -76,7 +88,7 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op3_html_extraction": op3_html_extraction, "op4_mixing": op4_mixing, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

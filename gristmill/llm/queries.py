@@ -56,6 +56,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(read(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import iblt
+
+    return iblt.fingerprints(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
@@ -88,7 +94,7 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_html_extraction": op3_html_extraction, "op4_mixing": op4_mixing, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op3_html_extraction": op3_html_extraction, "op4_mixing": op4_mixing, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@
 Paragraphs (lines, long ones in pieces) are hashed; each distinct digest goes into three of 24 cells, which hold a count,
 the xor of the digests and the xor of their checks. Subtracting two tables leaves the digests that differ, and peeling
 recovers them: a cell with one digest gives it away, which frees others. Where peeling stops short, the comparison is
-retried larger: the digests are dealt out over many tables of 24 cells, with another seed, so that the work stays in
+retried larger: the digests are dealt out over many tables of 18 cells, with another seed, so that the work stays in
 proportion. A table of these that can't be peeled gets 48 cells and then 63; if that fails too, all begins again with
 twice as many tables. The likeness of two documents is the share of their
 digests that is common: (n + m - differing) / (n + m); two empty texts have likeness 1.
@@ -26,7 +26,9 @@ CELLS = 24
 ROUNDS = 14
 RETRIES = 12
 #: Digests for each table in a retry, at most on average.
-LOAD = 7
+LOAD = 5
+#: Cells of each of those tables.
+SMALL = 18
 #: Cells of a table that couldn't be peeled, at its next tries.
 LARGER = (48, 63)
 PIECE = 128
@@ -52,9 +54,9 @@ def _mask(v: str, cells: int = CELLS) -> str:
     return f"({bit(0)} | {bit(1)} | {bit(2)})"
 
 
-def _entries(keys: str, sign: int, seed: str, tables: str) -> str:
+def _entries(keys: str, sign: int, seed: str, tables: str, cells: int = CELLS) -> str:
     """Digests as entries: their table and cells first, by which they sort, then sign, digest and check."""
-    entry = f"named_struct('t', cast(pmod(shiftrightunsigned(v, 48), {tables}) as int), 'p', {_mask('v')}, 's', {sign}, 'k', k, 'c', {_check('k')})"
+    entry = f"named_struct('t', cast(pmod(shiftrightunsigned(v, 48), {tables}) as int), 'p', {_mask('v', cells)}, 's', {sign}, 'k', k, 'c', {_check('k')})"
     return f"transform({keys}, k -> {_let('v', f'xxhash64(k, {seed})', entry)})"
 
 
@@ -66,7 +68,8 @@ def _peel(cells: str, seed: str, size: int = CELLS) -> str:
     """Of the cells of a difference: how many digests differ, or null where peeling stops short."""
     entry = f"named_struct('n', x.n, 'k', x.k, 'c', x.c, 'p', {_mask('v', size)})"
     pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 and x.c = {_check('x.k')}), x -> {_let('v', f'xxhash64(x.k, {seed})', entry)}))"
-    without = "transform(st.cells, (x, i) -> aggregate(filter(q, y -> (shiftrightunsigned(y.p, i) & 1L) = 1L), x, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k, 'c', a.c ^ y.c)))"
+    left = "aggregate(filter(q, y -> (shiftrightunsigned(y.p, i) & 1L) = 1L), x, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k, 'c', a.c ^ y.c))"
+    without = _let("m", "aggregate(q, 0L, (a, y) -> a | y.p)", f"transform(st.cells, (x, i) -> if((shiftrightunsigned(m, i) & 1L) = 0L, x, {left}))")
     step = _let("q", pure, f"if(size(q) = 0, named_struct('cells', st.cells, 'f', st.f, 'on', false), named_struct('cells', {without}, 'f', st.f + size(q), 'on', true))")
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'f', 0, 'on', true), (st, r) -> if(st.on, {step}, st), st -> if(forall(st.cells, x -> x.n = 0 and x.k = 0 and x.c = 0), st.f, cast(null as int)))"
 
@@ -85,9 +88,9 @@ def _larger(a: str, b: str, seed: str) -> str:
     """Differing digests by many tables; null where one of them can't be peeled, not even when it is made larger itself."""
     tables = f"cast(shiftleft(1L, {seed} - 1) * ((size({a}) + size({b})) div {LOAD} + 1) as int)"
     marks = "transform(sequence(0, nt), t -> named_struct('t', t, 'p', 0L, 's', 0, 'k', 0L, 'c', 0L))"  # one before each table's entries, and at the end
-    every = f"sort_array(concat({_entries(a, 1, seed, 'nt')}, {_entries(b, -1, seed, 'nt')}, {marks}))"
+    every = f"sort_array(concat({_entries(a, 1, seed, 'nt', SMALL)}, {_entries(b, -1, seed, 'nt', SMALL)}, {marks}))"
     one = "slice(es, cast(array_position(ts, t) as int) + 1, cast(array_position(ts, t + 1) - array_position(ts, t) as int) - 1)"
-    tries = [_peel(_cells("part"), seed)]
+    tries = [_peel(_cells("part", SMALL), seed, SMALL)]
     for k, cells in enumerate(LARGER):
         again = f"({seed} + {100 * (k + 1)})"
         moved = f"transform(part, x -> named_struct('p', {_mask(f'xxhash64(x.k, {again})', cells)}, 's', x.s, 'k', x.k, 'c', x.c))"

@@ -17,6 +17,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~q.passes(q.BASE)).alias("base_failed"), q.passes(q.CURRENT).alias("kept"), "n_lines", "failed_bits")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import quality_classifier
+
+    return quality_classifier.classify(read(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm import html_extract
 
@@ -29,6 +35,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(read(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm import url_filter
+
+    pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select("url", "bad")
+    return url_filter.judge(pages, labelled)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm import langid
 
@@ -94,7 +109,7 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op3_html_extraction": op3_html_extraction, "op4_mixing": op4_mixing, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
+    return {"op1_quality_rules": op1_quality_rules, "op2_quality_classifier": op2_quality_classifier, "op3_html_extraction": op3_html_extraction, "op4_mixing": op4_mixing, "op5_url_filter": op5_url_filter, "op6_language_id": op6_language_id, "op7_simhash": op7_simhash, "op8_packing": op8_packing, "op9_substring_dedup": op9_substring_dedup, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("screens", "portfolios", "returns")
+AREAS = ("screens", "portfolios", "returns", "sequences")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -120,7 +120,7 @@ class ByteBpe:
     Texts with other white space next to a space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.kept, self.old, self.split = Tokenizer.from_file(path), most, {}, {}, True
@@ -148,6 +148,9 @@ class ByteBpe:
         except Exception:  # a vocabulary of another kind; tokenizers itself then does all
             return None
 
+    def forget(self) -> None:
+        self.kept, self.old = {}, {}
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -187,16 +190,19 @@ def _pieces(path: str, size: int, end: int, batches: Iterator) -> Iterator:
 
     encode, last = tokenizer(path), np.array([end], "<u4").tobytes()
     names = [x.split()[0] for x in PIECES.split(", ")]
-    for batch in batches:
-        for ids_of, texts in _some(batch):
-            out = []
-            for doc_id, ids in zip(ids_of, encode([t or "" for t in texts])):
-                ids += last
-                whole = zlib.crc32(ids)
-                for k in range(0, len(ids), 4 * size):
-                    part = ids[k : k + 4 * size]
-                    out.append((doc_id, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, whole))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+    try:
+        for batch in batches:
+            for ids_of, texts in _some(batch):
+                out = []
+                for doc_id, ids in zip(ids_of, encode([t or "" for t in texts])):
+                    ids += last
+                    whole = zlib.crc32(ids)
+                    for k in range(0, len(ids), 4 * size):
+                        part = ids[k : k + 4 * size]
+                        out.append((doc_id, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, whole))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+    finally:
+        encode.forget()  # the worker process may serve other stages
 
 
 def _some(batch, most: int = 4_000_000) -> Iterator[tuple[list, list]]:

@@ -98,11 +98,11 @@ def execution_sessions(spark, sf_dir):
     cal = p.sessions(b)
     dates = p.rebalance_dates(b, "monthly").withColumnRenamed("date", "signal_date")
     a, z = p.executions(dates, cal, 1).withColumnRenamed("session", "lag1"), p.executions(dates, cal, 0).withColumnRenamed("session", "lag0")
-    return z.join(a, "signal_date", "left").select(DAY("signal_date"), F.col("lag0").cast("long").alias("lag0"), F.col("lag1").cast("long").alias("lag1"))
+    return z.join(a, "signal_date").select(DAY("signal_date"), F.col("lag0").cast("long").alias("lag0"), F.col("lag1").cast("long").alias("lag1"))
 
 
 SESSIONS_SQL = "cal as (select date, row_number() over (order by date) - 1 as session from (select distinct date from bars)), sd as (select max(date) as signal_date from cal group by date_trunc('month', date))"
-EXEC_SQL = f"with {BARS_SQL}, {SESSIONS_SQL} select cast(signal_date as varchar) as signal_date, (select min(session) from cal where date >= signal_date) as lag0, (select min(session) from cal where date > signal_date) as lag1 from sd"
+EXEC_SQL = f"with {BARS_SQL}, {SESSIONS_SQL} select cast(signal_date as varchar) as signal_date, (select min(session) from cal where date >= signal_date) as lag0, (select min(session) from cal where date > signal_date) as lag1 from sd where signal_date < (select max(date) from cal)"
 
 GRID_SQL = f"""{BARS_SQL}, {SESSIONS_SQL}, own as (select ticker, session, close as px from bars join cal using (date)), fst as (select ticker, min(session) as first, max(session) as last_session from own group by 1),
 grid as (select fst.ticker, cal.session, last_session, px, last_value(px ignore nulls) over (partition by fst.ticker order by cal.session rows between unbounded preceding and current row) as carried,

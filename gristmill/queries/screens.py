@@ -41,7 +41,7 @@ f2 as (select *, {full('avg', 'dv', 20)} / 1e6 as avg_dollar_volume_20d_usd_mn,
  (close / sma_50 - 1) * 100 as price_vs_sma_50_pct, (close / sma_200 - 1) * 100 as price_vs_sma_200_pct, (sma_50 / sma_200 - 1) * 100 as sma_50_vs_sma_200_pct,
  (sma_200 / {lagged('sma_200', 21)} - 1) * 100 as sma_200_slope_1m_pct, (close / high_52w - 1) * 100 as drawdown_from_52w_high_pct, (close / low_52w - 1) * 100 as above_52w_low_pct,
  case when high_52w is not null then bar_no - max(case when high = high_52w then bar_no end) {w(252)} end as since0,
- case when sma_50 > sma_200 and {lagged('sma_50', 1)} <= {lagged('sma_200', 1)} then 1.0 else 0.0 end as turn, (sma_50 is not null and sma_200 is not null)::int as known from f1),
+ case when sma_50 > sma_200 and {lagged('sma_50', 1)} <= {lagged('sma_200', 1)} then 1.0::double else 0.0::double end as turn, (sma_50 is not null and sma_200 is not null)::int as known from f1),
 f as (select *, case when sum(known) {w(21)} = 21 then max(turn) {w(20)} end as golden_cross_20d from f2)"""
 
 NAMES = "price sma_20 sma_50 sma_200 return_1m_pct return_3m_pct return_6m_pct return_12m_pct return_12m_ex_1m_pct high_52w low_52w avg_dollar_volume_20d_usd_mn volatility_20d_pct volatility_60d_pct rel_volume_5d rel_volume_20d max_volume_ratio_20d up_down_volume_ratio_50d price_vs_sma_50_pct price_vs_sma_200_pct sma_50_vs_sma_200_pct sma_200_slope_1m_pct drawdown_from_52w_high_pct above_52w_low_pct golden_cross_20d".split()

@@ -1,6 +1,7 @@
 """Runs SQL with DuckDB over the tables of a folder and compares rows."""
 
 import datetime
+import decimal
 import math
 import os
 
@@ -22,7 +23,7 @@ def plain(v):
         return "none"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, decimal.Decimal)):
         return f"{float(v):.6g}"
     return str(v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else v)
 

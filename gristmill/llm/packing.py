@@ -120,7 +120,7 @@ class ByteBpe:
     Texts with other white space next to a space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.kept, self.old, self.split = Tokenizer.from_file(path), most, {}, {}, True
@@ -205,7 +205,7 @@ def _pieces(path: str, size: int, end: int, batches: Iterator) -> Iterator:
         encode.forget()  # the worker process may serve other stages
 
 
-def _some(batch, most: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def _some(batch, most: int = 1_500_000) -> Iterator[tuple[list, list]]:
     """Of a batch: ids and texts, some million characters at a time."""
     ids, texts, size = [], [], 0
     for doc_id, text in zip(batch.column(0), batch.column(1)):

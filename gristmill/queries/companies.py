@@ -181,6 +181,10 @@ def new_documents(spark, sf_dir):
     return p.where("page_id >= 100").join(seen, "u", "left_anti").groupBy("u").agg(F.min("page_id").alias("page_id"))
 
 
+TAG_SQL = "with " + ", ".join(["c as (select conv_id, lower(text) as t from conversations)", "h as (" + " union all ".join(f"select conv_id, '{n}' as tag, {p} as pol, regexp_extract(t, '^(.*?)(?:{rx})', 1) as b from c where regexp_matches(t, '{rx}')" for n, (rx, p) in RULES.items()) + ")",
+ r"w as (select *, regexp_split_to_array(b, '\s+') as ws from h)", "n as (select *, array_to_string(list_slice(ws, greatest(1, len(ws) - 14), len(ws)), ' ') as near from w)",
+ f"g as (select conv_id, tag, pol, regexp_matches(list_extract(regexp_split_to_array(near, '{tx.BREAKERS}'), -1), '{tx.NEGATORS.replace(chr(39), chr(39) * 2)}') as no from n)"]) + " select conv_id, tag, count(*) as n, sum(no::int)::bigint as denied, sum(case when no then -pol else pol end)::bigint as net from g group by 1, 2"
+
 QUERIES = {
     "fundamental_features": fundamental_features, "positioning_features": positioning_features, "options_summary": options_summary, "fact_versions": fact_versions, "fact_ttm": fact_ttm, "url_canonical": url_canonical, "passage_bm25": passage_bm25,
     "quotes_verified": quotes_verified, "tag_counts": tag_counts, "speaker_exchanges": speaker_exchanges, "document_window": document_window, "new_documents": new_documents,
@@ -189,6 +193,7 @@ SQL = {
     "fundamental_features": FUND_SQL, "positioning_features": _position_sql(), "options_summary": OPTIONS_SQL,
     "fact_versions": f"""with {FACTS_SQL} select cik, concept, cast("end" as varchar) as "end", round(val, 6) as val, cast(filed as varchar) as filed, cast(first_filed as varchar) as first_filed, versions from v""",
     "fact_ttm": TTM_SQL, "url_canonical": URL_SQL, "passage_bm25": _bm25_sql(), "quotes_verified": QUOTES_SQL,
+    "tag_counts": TAG_SQL,
     "speaker_exchanges": "select conv_id, exchange, count(*) as turns, sum(length(text))::bigint as chars, max(role) as last_role from (select *, sum((role = 'user')::int) over (partition by conv_id order by turn rows between unbounded preceding and current row)::bigint as exchange from conversations) group by 1, 2",
     "document_window": "select source, doc_id, n_chars, r from (select *, row_number() over (partition by source order by n_chars desc, doc_id desc) as r from documents where lang in ('en', 'de')) where r <= 3",
     "new_documents": f"with c as ({URL_SQL}) select canonical as u, min(page_id) as page_id from c where page_id >= 100 and canonical not in (select canonical from c where page_id < 100) group by 1",

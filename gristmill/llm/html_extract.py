@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\s(hidden)(?=[\s/]|$)""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|\s(hidden)(?=[\s/]|$)""", re.I)
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -29,7 +29,8 @@ PARAGRAPH_ENDS = BLOCK - {"html", "body"}
 #: An open element of these ends where another of the same set begins, up to the given containers.
 PEERS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebars?|side-?bar|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|foot|page-?header|site-?header|masthead|topbar|top-?bar|cookies?|consent|gdpr|notices?|popup|pop-?up|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|share|sharing|social|related|recommended|recommendations|widgets?|disclaimer|comments?|comment-?list|respond|replies|disqus|skip-?link|toolbar|pager|pagination|hidden)(?=$|[\s_-])", re.I)
+UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebars?|side-?bar|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|foot|page-?header|site-?header|masthead|alerts?|topbar|top-?bar|cookies?|consent|gdpr|notices?|popup|pop-?up|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|share|sharing|social|related|recommended|recommendations|widgets?|disclaimer|comments?|comment-?list|respond|replies|disqus|skip-?link|toolbar|pager|pagination|hidden)(?=$|[\s_-])", re.I)
+PAGE_HEADER = re.compile(r"(?:^|\s)(?:site|page|main|top|global)?[_-]?header(?=$|\s)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SHARE = 0.2
 
@@ -52,7 +53,7 @@ def _unlikely(tag: str, attributes: str, inside: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if bare or name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id") and UNLIKELY.search(value):
+        if name in ("class", "id") and (UNLIKELY.search(value) or not inside and PAGE_HEADER.search(value)):
             return True
     return False
 
@@ -100,7 +101,7 @@ def tree(page: str) -> Node:
         if tag == "head":
             continue
         inside = False
-        if tag == "header":
+        if tag == "header" or "header" in attributes:
             node = now
             while node is not None and not inside:
                 inside, node = node.tag in ("article", "main"), node.parent

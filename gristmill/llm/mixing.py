@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, word_count
+from gristmill.llm.common import LAST_ID, cut, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -228,29 +228,48 @@ def amounts(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: flo
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes") + F.coalesce("extra", F.lit(0))).alias("taken"))
 
 
+def _shard(tree: list[list[int]]):
+    """A vectorized function: the shard of a source's draw. A shard has a range of each source's draws; their ends are searched."""
+    import numpy as np
+    import pandas as pd
+
+    ends = np.cumsum(np.array(tree, np.int64).reshape(len(tree), -1), axis=0).T
+
+    def shard(sid, draw):
+        s, d = sid.to_numpy(), draw.to_numpy()
+        out = np.zeros(len(s), np.int32)
+        for k in np.unique(s):
+            on = s == k
+            out[on] = np.searchsorted(ends[k], d[on], "right")
+        return pd.Series(out)
+
+    shard.__annotations__ = {"sid": pd.Series, "draw": pd.Series, "return": pd.Series}
+    return F.pandas_udf(shard, "int")
+
+
 def draws(docs: DataFrame, shards: int = 16, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, block: int = BLOCK) -> DataFrame:
-    """The mix: the columns of ``docs`` (text cut to the words drawn), ``shard`` and ``position``. A row for each piece of a document in a drawn block.
+    """The mix: the columns of ``docs`` (text cut to the words drawn), ``shard``, ``position`` and ``start``. A row for each piece of a document in a drawn block.
 
     Draws of a source are numbered pass by pass in permuted order; the tree gives each shard a range of them, and a hash
-    puts the shard's blocks in order.
+    puts the shard's blocks in order. All this is computed on ids and sizes; a text is shuffled once to meet its pieces and
+    split into words once. Repeated rows are told apart by their number within (doc_id, hash of the text).
     """
-    spark = docs.sparkSession
-    rows = cut(docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h")]
+    narrow = docs.select(*key, F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    rows = cut(narrow.withColumn("n", F.row_number().over(Window.partitionBy("d", "h").orderBy("source"))).withColumn("doc_id", F.col("d")))
     found = sources(rows, weights, share, ceiling, block)
-    counts = [q.passes * q.total + q.blocks for *_, q in found]
-    tree = split(counts, shards)
-    ranges, ends = [], [0] * len(counts)
-    for shard, drawn in enumerate(tree):
-        for k, n in enumerate(drawn):
-            if n:
-                ranges.append((k, shard, ends[k], ends[k] + n))
-            ends[k] += n
-    table = F.broadcast(spark.createDataFrame(ranges, "sid int, shard int, first long, stop long"))  # sources times shards
+    tree = split([q.passes * q.total + q.blocks for *_, q in found], shards)
     cuts = pieces(rows, found, block)
-    one = F.expr("transform(sequence(0L, passes), p -> struct(p as pass, p * n_blocks + place as draw, if(p < passes, hi - lo, words) as take))")
-    each = cuts.withColumn("d", F.explode(one)).where("d.take > 0")
-    mixed = each.join(table, "sid").where("d.draw >= first and d.draw < stop")
-    words = F.regexp_extract_all(F.col("doc.text"), F.lit(r"\s*[^\x20\x09-\x0D]+"), F.lit(0))
-    whole = (F.col("lo") == 0) & (F.col("d.take") == F.col("size"))
-    text = F.when(whole, F.col("doc.text")).otherwise(F.regexp_replace(F.array_join(F.slice(words, F.col("lo").cast("int") + 1, F.col("d.take").cast("int")), ""), r"^\s+", ""))
-    return mixed.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns), "shard", F.xxhash64(F.lit(SEED), "sid", "d.draw").alias("position"), F.col("lo").alias("start"))
+    one = F.expr("transform(sequence(0L, passes), p -> struct(p * n_blocks + place as draw, if(p < passes, hi - lo, words) as take))")
+    each = cuts.withColumn("x", F.explode(one)).where("x.take > 0").select("d", "h", "n", "sid", "size", "lo", "x.draw", "x.take")
+    placed_ = each.withColumn("shard", _shard(tree)("sid", "draw")).withColumn("position", F.xxhash64(F.lit(SEED), "sid", "draw"))
+    mine = placed_.groupBy("d", "h").agg(F.collect_list(F.struct("n", "lo", "take", "size", "shard", "position")).alias("all"))  # of one text
+    flat = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    body, source = flat["text"], flat["source"]
+    whole = docs.select(*key, *(F.col(f"`{c}`").alias(f) for c, f in flat.items())).withColumn("n", F.row_number().over(Window.partitionBy("d", "h").orderBy(source)))
+    met = whole.join(mine, ["d", "h"]).withColumn("all", F.expr("filter(all, p -> p.n = n)"))
+    parted = F.when(F.exists("all", lambda p: (p["lo"] != 0) | (p["take"] != p["size"])), F.regexp_extract_all(F.col(body), F.lit(r"\s*[^\x20\x09-\x0D]+"), F.lit(0)))
+    words = met.select(*flat.values(), "all", F.explode(F.array(parted)).alias("w"))  # a generator, or each piece would split anew
+    text = f"if(p.lo = 0 and p.take = p.size, {body}, regexp_replace(array_join(slice(w, cast(p.lo as int) + 1, cast(p.take as int)), ''), '^\\\\s+', ''))"
+    out = words.select(*flat.values(), F.expr(f"explode(transform(all, p -> struct({text} as text, p.shard as shard, p.position as position, p.lo as start)))").alias("p"))
+    return out.select(*(F.col("p.text" if c == "text" else f).alias(c) for c, f in flat.items()), "p.shard", "p.position", "p.start")

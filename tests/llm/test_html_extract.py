@@ -24,6 +24,7 @@ def page(body, head="<title>t</title>"):
         (page(f"<article><header><h1>T</h1></header><p>{LONG}</p><form>f<input><button>go</button></form><ul><li>one<li>two</ul></article><section id=comments><p>{LONG}{LONG}</p></section>"), f"T\n{LONG}\none\ntwo"),
         (page(f"<div class='cookie-notice'>We use, cookies, and, more, of, them</div><article><p>{LONG}</p></article>"), LONG),
         (page(f"<article><p>a<b>b</b>c <i>d</i></p><!-- <p>no</p> --><script>var t='</p>';</script><style>p{{}}</style><p>{LONG}</p></article>"), f"abc d\n{LONG}"),
+        (page(f"<div class=header><p>{LONG}</p></div><main><div class='article header'><h1>T</h1></div><p data-id='comment'>{LONG}</p><div role=alert>x</div><p hidden>y</p></main>"), f"T\n{LONG}"),
         (page(f"<article><p><b>{LONG}<br><p>next</article>"), f"{LONG}\nnext"),
         (page(f"<div><a href=x>{LONG}</a></div><div><p>{LONG}</p><p>{LONG}</p></div>"), f"{LONG}\n{LONG}"),
     ],

@@ -3,7 +3,7 @@ from collections import Counter
 import corpus_pipeline as cp
 from gristmill.llm import mixing, quality_rules
 
-from tests.llm.test_simhash import brute, slow_fingerprint
+from tests.llm.test_similar import true_groups
 
 
 def test_stages_against_brute_force(spark, sf, tmp_path):
@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert all(r == texts[r.doc_id] for r in one.collect())
 
     two = written(2, cp.STAGES[1][1](spark, one, sf))
-    label = brute({i: slow_fingerprint(texts[i].text, 5) for i in want})
+    label = true_groups({i: texts[i].text for i in want}, 0.8)
     assert two.columns == columns and sorted(r.doc_id for r in two.collect()) == sorted(set(label.values()))
 
     three = written(3, cp.STAGES[2][1](spark, two, sf))

@@ -39,6 +39,15 @@ def test_deep_and_broken_markup():
     assert x.extract("<p>a < b > c</p>") == "a < b > c"
 
 
+def test_long_attribute_values():
+    for quote in "\"'":
+        for n in (100, 5_000, 500_000):
+            value = f"data-x={quote}{'a' * n} > words{quote}"
+            assert x.extract(f"<div {value}>text</div>") == "text"
+            assert x.extract(f"<p>{LONG}</p><div {value} class={quote}sidebar{quote}><p>{LONG} aside</p></div>") == LONG
+    assert x.extract(f"<p title=\"{'a' * 5_000}>text</p>") == "text"  # never closed
+
+
 def test_query(spark, sf):
     from html import unescape
 

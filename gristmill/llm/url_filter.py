@@ -64,7 +64,7 @@ def ruled(rules: tuple[Rule, ...], value) -> Column:
 def tokens(url: str = "url") -> Column:
     """The distinct tokens of a URL, with ``host`` and ``path`` columns at hand; null and empty ones are left out."""
     labels = "transform(filter(split(host, '[.]'), x -> x != ''), x -> concat('host=', x))"
-    folders = "transform(filter(split(path, '/'), x -> x rlike '^[A-Za-z_-]+$'), x -> concat('path=', lower(x)))"
+    folders = "transform(filter(split(path, '/'), x -> x != ''), x -> concat('path=', lower(x)))"
     keys = f"transform(regexp_extract_all({url}, '[?&]([^=&#]*)', 1), x -> concat('key=', x))"
     single = (
         f"array(concat('scheme=', lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))),"

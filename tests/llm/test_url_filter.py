@@ -62,3 +62,14 @@ def test_query_has_no_python(spark, sf):
         assert (r.host, r.path, r.rule) == (host, path, name) and (verdict is None or r.verdict == verdict)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_every_path_part(spark):
+    rows = [(f"https://h{k}.example/" + ("Casino24/login.php" if k < 20 else "win-2024/%C3%A4/ñu"), k < 20) for k in range(40)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = labelled.withColumn("host", u.host(F.col("url"))).withColumn("path", u.path(F.col("url"))).select(F.explode(u.tokens()).alias("t")).distinct()
+    assert {r.t for r in got.where("t like 'path=%'").collect()} == {"path=casino24", "path=login.php", "path=win-2024", "path=%c3%a4", "path=ñu"}
+    rules = u.mine(labelled)
+    assert ["path=casino24"] in [list(r[0]) for r in rules.select("items").collect()]
+    urls = spark.createDataFrame([("http://other.test/casino24/x",), ("http://other.test/casino/x",)], "url string")
+    assert [r.url for r in u.matched(urls, rules).collect()] == ["http://other.test/casino24/x"]

@@ -48,6 +48,34 @@ def test_long_attribute_values():
     assert x.extract(f"<p title=\"{'a' * 5_000}>text</p>") == "text"  # never closed
 
 
+def test_names_that_only_contain_a_word():
+    for name in ("social-security", "share-price", "notice-of-appeal", "side-effects"):
+        assert x.extract(page(f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>{LONG} inner</p></div></article>")) == f"T\n{LONG}\n{LONG} inner"
+    for name in ("ad", "ad-slot-1", "social share-buttons", "cookie-banner", "related-posts", "comment-list", "x newsletter-signup"):
+        assert x.extract(page(f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>{LONG} inner</p></div></article>")) == f"T\n{LONG}"
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    import time
+
+    def seconds(make, n):
+        began = time.perf_counter()
+        x.extract(make(n))
+        return time.perf_counter() - began
+
+    pages = {
+        "unmatched ends": lambda n: "<b>" * n + "</i>" * n + LONG,
+        "rules under inline elements": lambda n: "<b>" * n + "<hr>" * n + LONG,
+        "headers": lambda n: "<section>" + "<header>" * n + LONG,
+        "items": lambda n: "<ul>" + "<li><b>x" * n,
+        "quotes": lambda n: "<a \"" * n + LONG,
+        "scripts": lambda n: "<script>" * n,
+    }
+    for name, make in pages.items():
+        small, large = min(seconds(make, 4000) for _ in range(3)), seconds(make, 32000)
+        assert large < 30 * small + 0.5, name
+
+
 def test_query(spark, sf):
     from html import unescape
 
@@ -69,3 +97,5 @@ def test_clashing_columns_and_empty_tables(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect())) == [(1, "u", LONG, len(LONG)), (2, None, "", 0)]
     assert x.main_text(pages.where("false")).collect() == []
+    long = pages.unionAll(pages).limit(2).withColumn("html", x.F.lit(page(f"<article>{f'<p>{LONG}</p>' * 20000}</article>")))
+    assert {tuple(r) for r in x.main_text(long).selectExpr("n_chars").collect()} == {(20000 * (len(LONG) + 1) - 1,)}

@@ -19,10 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
+    """Cuts the lineage by a checkpoint in the folder that the cluster names in spark.checkpoint.dir. A folder of its own is made only where none is named and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gristmill-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-"))
     return df.checkpoint()
 
 
@@ -30,6 +33,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(spark: SparkSession, size: int, each: int = 64 << 20, most: int = 100_000) -> int:
+    """Partitions for ``size`` bytes, of ``each`` bytes; the session's number at least, and ``most`` at most, beyond which they grow."""
+    return max(parts(spark), min(most, -(-size // each)))
+
+
+def text_size(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -33,8 +33,9 @@ SHARE = 1.5
 CEILING = 2.0
 BLOCK = 512
 SEED = 20240229
-#: Rows of a source summed in one task, on average.
-DEAL = 20_000
+#: Rows of a source summed together, on average, and the most deals of a source, beyond which these rows grow.
+DEAL = 2_000
+DEALS = 1 << 16
 #: Words of a shard, and the most shards.
 SHARD = 1 << 17
 MOST = 1 << 14
@@ -196,7 +197,7 @@ def placed(docs: DataFrame, found: list[tuple]) -> DataFrame:
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(k, s, n, float(t), q.passes, q.blocks, q.words, q.total, -(-rows // DEAL)) for k, (s, n, t, q, rows) in enumerate(found)],
+        [(k, s, n, float(t), q.passes, q.blocks, q.words, q.total, min(DEALS, -(-rows // DEAL))) for k, (s, n, t, q, rows) in enumerate(found)],
         "sid int, __source string, source_size long, target double, passes long, q_blocks long, q_words long, n_blocks long, n_deals long",
     )
     rows = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")

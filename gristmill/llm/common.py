@@ -53,3 +53,18 @@ def text_bytes(column) -> list:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def released() -> None:
+    """Gives freed memory back to the system at the end of a task: the worker process lives on and may serve other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

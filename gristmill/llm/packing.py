@@ -7,6 +7,9 @@ run, and windows in the same state are an interval of their ids. The plan of run
 number of lengths, not of documents) is then joined to the rests, which are numbered within their length in parallel.
 
 Null text is empty: its only token is the end token. An empty table gives no pieces. Repeated rows are packed each for itself.
+A null doc_id is packed like any other. Which of several rests of equal length stands where is decided by doc_id, place and
+checksum. A very long text is encoded as a whole by one task: its ids take four bytes each. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, parts
+from gristmill.llm.common import cut, parts, released
 
 SIZE = 2048
 END = 1
 #: White space next to a space, or at an end of the text.
 ODD_SPACE = re.compile(r" \s|\s |^\s|\s\Z")
-#: Where this kind of tokenizer cuts a text before it merges, and a text to try it on.
+#: What a file must say for the fast way to be taken, where a tokenizer of that kind cuts a text before it merges, and a text to try it on.
+KNOWN = {"normalizer": None, "post_processor": None}
+CUTTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBE = "A, the 'b's x9 naïve_test (12) end.\nNew <tag> line's"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tie long"
@@ -118,35 +124,46 @@ class ByteBpe:
     over such a place, so each part (with its space) has the same ids alone. A sample text shows whether this holds for the
     file in use. Parts met lately are kept: a full table becomes the old one, and what is used of it moves to the new one.
     Texts with other white space next to a space are encoded whole.
+
+    Parts are encoded by ``tiktoken`` with the file's own vocabulary where the file is known to mean the same: normalizer,
+    cutting and model are the known ones, every merge makes the id next in order, and characters of every block of Unicode,
+    alone and with marks, come out equal. Else, and for parts with a special token's string, by ``tokenizers``.
     """
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    def __init__(self, path: str, most: int = 60_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.kept, self.old, self.split = Tokenizer.from_file(path), most, {}, {}, True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merger = self._merger(path)
-        probe = [*PROBE.split(" "), *(chr(c) + "x" + chr(c) for c in range(33, 1500))]
+        some = [chr(c) for c in [*range(33, 0x3400, 5), *range(0x3400, 0xD800, 61), *range(0xE000, 0x110000, 251)]]
+        probe = [*PROBE.split(" "), *(c + "x" + c for c in some), *("e" + c + "\u0301" + c for c in some[::3])]
+        probe = [p for p in probe if not p[0].isspace()]
         if self.merger and self.parts(probe) != self.whole([" " + p for p in probe]):
             self.merger = None
         self.split = self([PROBE]) == self.whole([PROBE])
 
     @staticmethod
     def _merger(path: str):
-        """The same vocabulary in ``tiktoken``, which is faster on short texts; its ranks are the ids of the file. None where this can't be."""
+        """The same vocabulary in ``tiktoken``, which is faster on short texts; its ranks are the ids of the file. None where the file isn't of the known kind."""
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            said = json.load(f)
+        model, cutter = said.get("model") or {}, said.get("pre_tokenizer") or {}
+        if any(d.get(k) != v for d, known in ((said, KNOWN), (cutter, CUTTER), (model, MODEL)) for k, v in known.items()):
+            return None
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        try:
-            ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if not token.startswith("<|")}
-            return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except Exception:  # a vocabulary of another kind; tokenizers itself then does all
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in {x["content"] for x in said.get("added_tokens") or ()}}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = sorted(vocabulary[a + b] for a, b in merges)
+        if [vocabulary[a + b] for a, b in merges] != made or len(vocabulary) != 256 + len(made) or any(not set(t) <= byte.keys() for t in vocabulary):
             return None
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+        return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def forget(self) -> None:
         self.kept, self.old = {}, {}
@@ -202,11 +219,12 @@ def _pieces(path: str, size: int, end: int, batches: Iterator) -> Iterator:
                         out.append((doc_id, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
     finally:
-        encode.forget()  # the worker process may serve other stages
+        encode.forget()
+        released()
 
 
-def _some(batch, most: int = 1_500_000) -> Iterator[tuple[list, list]]:
-    """Of a batch: ids and texts, some million characters at a time."""
+def _some(batch, most: int = 500_000) -> Iterator[tuple[list, list]]:
+    """Of a batch: ids and texts, some hundred thousand characters at a time."""
     ids, texts, size = [], [], 0
     for doc_id, text in zip(batch.column(0), batch.column(1)):
         ids.append(doc_id.as_py())

@@ -58,6 +58,28 @@ def test_token_ids():
             assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts[k : k + 7]]
 
 
+def test_every_code_point():
+    encode = packing.ByteBpe(PATH)
+    points = [chr(c) for c in range(33, 0x110000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    for k in range(0, len(points), 50_000):
+        some = [a + "x1" + a + b for a, b in zip(points[k : k + 50_000], points[k + 7 :] + points[:7])]
+        assert encode.parts(some) == encode.whole([" " + p for p in some])
+
+
+def test_fast_way_needs_a_known_file(tmp_path):
+    import json
+
+    said = json.load(open(PATH, encoding="utf-8"))
+    assert packing.ByteBpe._merger(PATH)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**said["pre_tokenizer"], "use_regex": False}}, {"model": {**said["model"], "merges": said["model"]["merges"][::-1]}}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps({**said, **change}), encoding="utf-8")
+        assert packing.ByteBpe._merger(str(path)) is None
+        text = "a café's  1234 x\n y"
+        slow = packing.ByteBpe(str(path))
+        assert np.frombuffer(slow([text])[0], "<u4").tolist() == slow.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark, sf):
     from gristmill.llm.queries import op8_packing
 

@@ -6,13 +6,19 @@ document, and a block that is met from a larger one, are hits. Hits are then ext
 are compared by 96-bit hashes, those that start in a smaller document are marked, and marked windows that overlap run
 together into the maximal repeats, whose words go.
 
-Probes outnumber everything else, so they don't travel as rows: for about 60,000 positions and a bucket of hashes there is
-one row with packed arrays (five bytes a probe). The number of buckets follows the size of the texts, so what one task
-holds at a time, the blocks of a bucket, doesn't grow with the corpus. A block that very many documents share costs
-a few bytes for each, in one bucket: no pairs are made.
+Probes outnumber everything else, so they don't travel as rows: for a group of positions and a bucket of hashes there is
+one row with packed arrays (five bytes a probe, and 20 for each document in the row). Buckets and the groups that are packed
+together follow the size of the texts, up to ``BUCKETS`` and ``MOST``; beyond that a bucket grows with the corpus (at 100 TB
+it stands for 1.5 GB of text, some 9 million blocks). Partitions follow the size too.
+
+Passages that very many documents share don't meet in one task: what a map task can settle alone doesn't travel. An entry
+whose hash a smaller document of the same task is known to have is marked there and then; of probes one for each hash and group
+goes on, so that the blocks which it meets are marked. So a hash travels at most some times for each task, not for each document.
 
 Rows are told apart by doc_id and a hash of the text, so repeated rows of a document don't count as copies of each other.
-A null doc_id counts as larger than every other; a null or short text has no window and keeps its words.
+A null doc_id counts as larger than every other; a null or short text has no window and keeps its words. A very long text is
+held whole by the task that reads it, with eight bytes a word beside it, and packed in parts. An empty table gives an empty
+result. Other columns are carried in a struct, so their names don't clash.
 """
 
 from __future__ import annotations
@@ -24,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import LAST_ID, parts, text_bytes
+from gristmill.llm.common import LAST_ID, released, spread, text_bytes, text_size
 
 WINDOW = 50
 BLOCK = 25
-GROUP = 60_000
-#: UTF-8 bytes of text a bucket stands for.
-BUCKET_BYTES = 40_000_000
+#: Positions that are packed together: so many for each bucket, within these bounds.
+GROUP, EACH, MOST = 60_000, 4_600, 2_000_000
+#: UTF-8 bytes of text a bucket stands for, and the most buckets.
+BUCKET_BYTES, BUCKETS = 8_000_000, 1 << 16
+#: Hashes whose least document a task remembers.
+KNOWN = 1 << 16
 #: Odd multipliers of the two rolling hashes, from the golden ratio and the square root of two.
 BASES = (0x9E3779B97F4A7C15, 0x6A09E667F3BCC909)
 PACKED = "bucket int, kind int, ids binary, tags binary, bases binary, starts binary, hashes binary, gaps binary"
@@ -95,18 +104,51 @@ def _ungaps(raw: bytes):
     return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
+class _Known:
+    """Of hashes that several documents of a task have: the least of these documents. Only a help; what it forgets travels."""
+
+    def __init__(self) -> None:
+        import numpy as np
+
+        self.keys, self.least, self.others = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def settle(self, h, d, holds, other):
+        """Of entries (hash, document, whether it can be met, more bits of the hash): which have a smaller document that is known to be met, and their hash's place."""
+        import numpy as np
+
+        keys, docs, others = np.concatenate([h[holds], self.keys]), np.concatenate([d[holds], self.least]), np.concatenate([other[holds], self.others])
+        order = np.lexsort((docs, keys))
+        keys = keys[order]
+        first = order[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+        keys, docs, others = np.unique(keys), docs[first], others[first]
+        if not len(keys):
+            return np.zeros(len(h), bool), None
+        at = np.searchsorted(keys, h)
+        at[at == len(keys)] = 0
+        settled = (keys[at] == h) & (d > docs[at]) & (other == others[at])
+        used = np.unique(at[settled])
+        if len(used):
+            old = np.searchsorted(keys, self.keys)
+            both = np.union1d(used, old) if len(used) + len(old) <= KNOWN else used[:KNOWN]
+            self.keys, self.least, self.others = keys[both], docs[both], others[both]
+        return settled, at
+
+
 class _Packer:
-    """Collects (document, position, hash) and packs them by bucket."""
+    """Collects (document, position, hash) and packs them by bucket.
 
-    def __init__(self, buckets: int, wide: bool) -> None:
-        self.buckets, self.wide = buckets, wide
+    Kinds of rows: 0 blocks, 1 probes (or windows, if ``wide``), 2 positions that are settled, without hashes.
+    """
+
+    def __init__(self, buckets: int, group: int, wide: bool) -> None:
+        self.buckets, self.group, self.wide, self.known = buckets, group, wide, _Known()
         self.clear()
 
     def clear(self) -> None:
         self.docs, self.at, self.hashes, self.other, self.kinds, self.size = [], [], [], [], [], 0
 
     def add(self, d: int, tag: int, base: int, pos, hashes, other=None, block=None) -> None:
-        """pos: positions less ``base``, under GROUP."""
+        """pos: positions less ``base``, within a group."""
         self.docs.append((d, tag, base, self.size))
         self.at.append(pos + self.size)
         self.hashes.append(hashes)
@@ -116,6 +158,18 @@ class _Packer:
             self.kinds.append(block)
         self.size += int(pos[-1]) + 1
 
+    def _settled(self, h, d, block, other):
+        """Which entries needn't travel as blocks, and which of these not as probes either: these are marked."""
+        import numpy as np
+
+        settled, at = self.known.settle(h, d, block, other)
+        one = np.zeros(len(h), bool)
+        if settled.any() and not self.wide:  # the largest document's probe of each hash goes on
+            i = np.flatnonzero(settled)
+            i = i[np.lexsort((d[i], at[i]))]
+            one[i[np.concatenate([at[i][1:] != at[i][:-1], [True]])]] = True
+        return settled, settled & ~one
+
     def rows(self) -> Iterator[tuple]:
         import numpy as np
 
@@ -123,24 +177,26 @@ class _Packer:
             return
         d, tag, base, start = (np.array(x, t) for x, t in zip(zip(*self.docs), (np.int64, np.int32, np.uint32, np.int64)))
         at, h = np.concatenate(self.at), np.concatenate(self.hashes)
-        other = np.concatenate(self.other) if self.wide else None
-        kinds = None if self.wide else np.concatenate(self.kinds)
+        doc = np.searchsorted(start, at, "right") - 1
+        other = np.concatenate(self.other).astype(np.uint32) if self.wide else np.zeros(len(h), np.uint32)
+        block = np.ones(len(h), bool) if self.wide else np.concatenate(self.kinds)
+        held, marked = self._settled(h, d[doc], block, other)
         bucket = ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
         low = h.astype(np.uint32)
-        for kind in (1,) if self.wide else (0, 1):
-            pick = np.arange(len(h)) if kind else np.flatnonzero(kinds)
-            pick = pick[np.argsort(bucket[pick], kind="stable")]
-            bounds = np.searchsorted(bucket[pick], np.arange(self.buckets + 1))
-            for b in range(self.buckets):
-                i = pick[bounds[b] : bounds[b + 1]]
-                if not len(i):
-                    continue
-                x = at[i]
-                doc = np.searchsorted(start, x, "right") - 1
-                used = np.flatnonzero(np.bincount(doc, minlength=len(d)))
+        home = (_mixed(d.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32)
+        for kind, pick, of in ((0, block & ~held, bucket), (1, ~marked, bucket), (2, marked, home[doc])):
+            if self.wide and kind == 0:
+                continue
+            pick = np.flatnonzero(pick)
+            pick = pick[np.argsort(of[pick], kind="stable")]
+            sorted_ = of[pick]
+            bounds = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(pick)]]).tolist() if len(pick) else [0]
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                i = pick[lo:hi]
                 # positions are packed against the starts of the documents that are in the row
-                hashes = np.concatenate([h[i].view(np.uint8), other[i].astype(np.uint32).view(np.uint8)]).tobytes() if self.wide else low[i].tobytes()
-                yield b, kind, d[used].tobytes(), tag[used].tobytes(), base[used].tobytes(), start[used].astype(np.uint32).tobytes(), hashes, _gaps(x)
+                used = np.unique(doc[i])
+                hashes = b"" if kind == 2 else b"".join((h[i].tobytes(), other[i].tobytes())) if self.wide else low[i].tobytes()
+                yield int(sorted_[lo]), kind, d[used].tobytes(), tag[used].tobytes(), base[used].tobytes(), start[used].astype(np.uint32).tobytes(), hashes, _gaps(at[i])
         self.clear()
 
 
@@ -169,11 +225,11 @@ def _word_hashes(cache: _Words, words: list[bytes]):
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def _probes(buckets: int, window: int, block: int, batches: Iterator) -> Iterator:
+def _probes(buckets: int, group: int, window: int, block: int, batches: Iterator) -> Iterator:
     """Of documents: their rolling windows and blocks, packed."""
     import numpy as np
 
-    cache, roll, packer = _Words(), _Rolling(block, BASES[0]), _Packer(buckets, False)
+    cache, roll, packer = _Words(), _Rolling(block, BASES[0]), _Packer(buckets, group, False)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -182,13 +238,14 @@ def _probes(buckets: int, window: int, block: int, batches: Iterator) -> Iterato
                 if len(words) < window:
                     continue
                 h = roll(_word_hashes(cache, words))
-                for k in range(0, len(h), GROUP):
-                    part = h[k : k + GROUP]
+                for k in range(0, len(h), group):
+                    part = h[k : k + group]
                     at = np.arange(len(part))
-                    if packer.size + len(part) > GROUP:
+                    if packer.size + len(part) > group:
                         yield from packer.rows()
                     packer.add(d, tag, k, at, part, block=(at + k) % block == 0)
         yield from packer.rows()
+        released()
 
     return _batches(rows(), PACKED)
 
@@ -201,7 +258,12 @@ def _unpack(row: dict, wide: bool):
     at = _ungaps(row["gaps"])
     doc = np.searchsorted(start, at, "right") - 1
     raw = row["hashes"]
-    h = (np.frombuffer(raw[: 8 * len(at)], np.uint64), np.frombuffer(raw[8 * len(at) :], np.uint32)) if wide else np.frombuffer(raw, np.uint32)
+    if row["kind"] == 2:
+        h = None
+    elif wide:
+        h = np.frombuffer(raw[: 8 * len(at)], np.uint64), np.frombuffer(raw[8 * len(at) :], np.uint32)
+    else:
+        h = np.frombuffer(raw, np.uint32)
     return doc, at - start[doc] + base[doc], h, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["tags"], np.int32)
 
 
@@ -230,6 +292,9 @@ def _hits(batches: Iterator) -> Iterator:
             blocks, index = [], None
             for row in group:
                 doc, pos, h, ids, tags = _unpack(row, False)
+                if row["kind"] == 2:
+                    yield from _runs(doc, pos, ids, tags)
+                    continue
                 if row["kind"] == 0:
                     blocks.append((h, ids[doc], tags[doc], pos.astype(np.uint32)))
                     continue
@@ -258,11 +323,11 @@ def _hits(batches: Iterator) -> Iterator:
     return _batches(rows(), RUNS)
 
 
-def _candidates(buckets: int, window: int, block: int, batches: Iterator) -> Iterator:
+def _candidates(buckets: int, group: int, window: int, block: int, batches: Iterator) -> Iterator:
     """Of documents with the positions of their hits: the windows around them, packed."""
     import numpy as np
 
-    cache, packer = _Words(), _Packer(buckets, True)
+    cache, packer = _Words(), _Packer(buckets, group, True)
     roll = [_Rolling(window, b) for b in BASES]
 
     def rows() -> Iterator[tuple]:
@@ -279,14 +344,15 @@ def _candidates(buckets: int, window: int, block: int, batches: Iterator) -> Ite
                 starts = np.flatnonzero(np.cumsum(edge[:n]) > 0)
                 word = _word_hashes(cache, words)
                 a, b = roll[0](word)[starts], (roll[1](_mixed(word))[starts] >> np.uint64(32)).astype(np.uint32)
-                for k in range(0, n, GROUP):
-                    i, j = np.searchsorted(starts, (k, k + GROUP))
+                for k in range(0, n, group):
+                    i, j = np.searchsorted(starts, (k, k + group))
                     if i == j:
                         continue
-                    if packer.size + GROUP > 2 * GROUP or packer.size + int(starts[j - 1]) - k > GROUP:
+                    if packer.size + int(starts[j - 1]) - k >= group:
                         yield from packer.rows()
                     packer.add(d, tag, k, starts[i:j] - k, a[i:j], b[i:j])
         yield from packer.rows()
+        released()
 
     return _batches(rows(), PACKED)
 
@@ -297,7 +363,15 @@ def _repeats(batches: Iterator) -> Iterator:
 
     def rows() -> Iterator[tuple]:
         for _, group in _by_bucket(batches):
-            got = [_unpack(row, True) for row in group]
+            got = []
+            for row in group:
+                entry = _unpack(row, True)
+                if row["kind"] == 2:
+                    yield from _runs(entry[0], entry[1], entry[3], entry[4])
+                else:
+                    got.append(entry)
+            if not got:
+                continue
             a, b = np.concatenate([x[2][0] for x in got]), np.concatenate([x[2][1] for x in got])
             d = np.concatenate([x[3][x[0]] for x in got])
             order = np.lexsort((d, b, a))
@@ -327,24 +401,25 @@ def removed_mask(n: int, starts: list[bytes] | None, window: int = WINDOW):
     return np.cumsum(edge[:n]) > 0
 
 
-def marked(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def marked(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, group: int | None = None) -> DataFrame:
     """The columns of ``docs`` with ``d``, ``tag`` (keys of the row) and ``starts``: packed positions of the windows to remove, or null.
 
     ``docs`` has doc_id and text; names beginning with two underscores aside, any other column is carried along.
     """
     if not 0 < 2 * block - 1 <= window:
         raise ValueError("a window must hold a whole block wherever it starts")
-    n = parts(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, -(-size // bucket_bytes))
+    size = text_size(docs)
+    n = spread(docs.sparkSession, size)  # packed probes are about as large as the texts
+    buckets = min(BUCKETS, max(12, -(-size // bucket_bytes)))
+    group = group or min(MOST, max(GROUP, EACH * buckets))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.hash("text").alias("tag"), F.struct(*docs.columns).alias("row"))
     texts = keyed.select("d", "tag", F.col("row.text").alias("text"))
-    packed = texts.mapInArrow(lambda b: _probes(buckets, window, block, b), PACKED)
+    packed = texts.mapInArrow(lambda b: _probes(buckets, group, window, block, b), PACKED)
     hits = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_hits, RUNS)
     hits = hits.groupBy("d", "tag").agg(F.collect_list("pos").alias("hits"))
     dealt = keyed.repartition(n, "d", "tag")  # the one shuffle of the texts, used twice
     around = dealt.join(hits, ["d", "tag"]).select("d", "tag", "row", "hits")  # whole rows, or the shuffle isn't the same one
-    windows = around.mapInArrow(lambda b: _candidates(buckets, window, block, b), PACKED)
+    windows = around.mapInArrow(lambda b: _candidates(buckets, group, window, block, b), PACKED)
     again = windows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, RUNS)
     again = again.groupBy("d", "tag").agg(F.collect_list("pos").alias("starts"))
     return dealt.join(again, ["d", "tag"], "left")

@@ -46,6 +46,48 @@ def test_against_brute_force(spark):
         assert got == slow(rows, window)
 
 
+def test_what_a_task_settles_alone(spark):
+    """Small groups in one and in several tasks, so that entries meet in a group, in a task and across tasks."""
+    rows = fixture()
+    rng = random.Random(3)
+    hot = " ".join(f"h{k}" for k in range(30))
+    rows += [(rng.randint(400, 500), f"{' '.join(f'u{rng.random()}' for _ in range(rng.randint(0, 9)))} {hot}{' ' + hot if k % 3 else ''}") for k in range(150)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        for group in (40, 300, 100_000):
+            got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs.repartition(parts), 10, 5, group=group, bucket_bytes=300).collect())
+            assert got == slow(rows, 10)
+
+
+def test_a_passage_of_many_documents_travels_seldom():
+    import pyarrow as pa
+
+    hot = " ".join(f"h{k}" for k in range(60))
+    ids = random.Random(1).sample(range(10**6), 3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(3000), pa.int32()), pa.array([f"{'x ' * (i % 50)}{hot}" for i in ids])], names=["d", "tag", "text"])
+    travelled = settled = 0
+    for b in substring._probes(64, 20_000, 50, 25, [batch]):
+        for row in b.to_pylist():
+            n = len(substring._ungaps(row["gaps"]))
+            travelled, settled = travelled + (row["kind"] < 2) * n, settled + (row["kind"] == 2) * n
+    assert travelled < 0.1 * settled
+
+
+def test_rows_of_a_group_follow_its_entries():
+    """Not the number of buckets."""
+    import time
+
+    seconds = []
+    for buckets in (12, 60_000):
+        packer = substring._Packer(buckets, 60_000, False)
+        packer.add(1, 0, 0, np.arange(400), np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64), block=np.arange(400) % 25 == 0)
+        began = time.perf_counter()
+        assert 12 <= len(list(packer.rows())) <= 416
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 0.2
+
+
 def test_long_text_over_groups(spark):
     rng = random.Random(2)
     shared = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(70))

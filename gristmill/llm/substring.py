@@ -7,9 +7,9 @@ are compared by 96-bit hashes, those that start in a smaller document are marked
 together into the maximal repeats, whose words go.
 
 Probes outnumber everything else, so they don't travel as rows: for a group of positions and a bucket of hashes there is
-one row with packed arrays (five bytes a probe, and 20 for each document in the row). Buckets and the groups that are packed
-together follow the size of the texts, up to ``BUCKETS`` and ``MOST``; beyond that a bucket grows with the corpus (at 100 TB
-it stands for 1.5 GB of text, some 9 million blocks). Partitions follow the size too.
+one row with packed arrays (five bytes a probe, and 16 for each document in the row). Buckets follow the size of the
+texts, slowly, since documents then share rows less; a task holds the blocks of a bucket, 20 bytes each. They end at ``BUCKETS``; beyond
+that a bucket grows with the corpus (at 100 TB it stands for 6 GB of text, 37 million blocks). Partitions follow the size too.
 
 Passages that very many documents share don't meet in one task: what a map task can settle alone doesn't travel. An entry
 whose hash a smaller document of the same task is known to have is marked there and then; of probes one for each hash and group
@@ -36,8 +36,8 @@ WINDOW = 50
 BLOCK = 25
 #: Positions that are packed together: so many for each bucket, within these bounds.
 GROUP, EACH, MOST = 60_000, 4_600, 2_000_000
-#: UTF-8 bytes of text a bucket stands for, and the most buckets.
-BUCKET_BYTES, BUCKETS = 8_000_000, 1 << 16
+#: UTF-8 bytes of text a bucket stands for, and the least and most buckets.
+BUCKET_BYTES, LEAST, BUCKETS = 400_000_000, 16, 1 << 14
 #: Hashes whose least document a task remembers.
 KNOWN = 1 << 16
 #: Odd multipliers of the two rolling hashes, from the golden ratio and the square root of two.
@@ -196,7 +196,7 @@ class _Packer:
                 # positions are packed against the starts of the documents that are in the row
                 used = np.unique(doc[i])
                 hashes = b"" if kind == 2 else b"".join((h[i].tobytes(), other[i].tobytes())) if self.wide else low[i].tobytes()
-                yield int(sorted_[lo]), kind, d[used].tobytes(), tag[used].tobytes(), base[used].tobytes(), start[used].astype(np.uint32).tobytes(), hashes, _gaps(at[i])
+                yield int(sorted_[lo]), kind, d[used].tobytes(), tag[used].tobytes(), base[used].tobytes() if base[used].any() else b"", start[used].astype(np.uint32).tobytes(), hashes, _gaps(at[i])
         self.clear()
 
 
@@ -255,6 +255,7 @@ def _unpack(row: dict, wide: bool):
     import numpy as np
 
     start, base = np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.frombuffer(row["bases"], np.uint32).astype(np.int64)
+    base = base if len(base) else np.zeros(len(start), np.int64)
     at = _ungaps(row["gaps"])
     doc = np.searchsorted(start, at, "right") - 1
     raw = row["hashes"]
@@ -410,7 +411,7 @@ def marked(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, bucket_byt
         raise ValueError("a window must hold a whole block wherever it starts")
     size = text_size(docs)
     n = spread(docs.sparkSession, size)  # packed probes are about as large as the texts
-    buckets = min(BUCKETS, max(12, -(-size // bucket_bytes)))
+    buckets = min(BUCKETS, max(LEAST, -(-size // bucket_bytes)))
     group = group or min(MOST, max(GROUP, EACH * buckets))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.hash("text").alias("tag"), F.struct(*docs.columns).alias("row"))
     texts = keyed.select("d", "tag", F.col("row.text").alias("text"))

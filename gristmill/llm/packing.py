@@ -15,7 +15,6 @@ whatever their names.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,14 +27,12 @@ from gristmill.llm.common import cut, parts, released
 
 SIZE = 2048
 END = 1
-#: White space next to a space, or at an end of the text.
-ODD_SPACE = re.compile(r" \s|\s |^\s|\s\Z")
 #: What a file must say for the fast way to be taken, where a tokenizer of that kind cuts a text before it merges, and a text to try it on.
 KNOWN = {"normalizer": None, "post_processor": None}
 CUTTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = "A, the 'b's x9 naïve_test (12) end.\nNew <tag> line's"
+PROBE = "A, the 'b's x9  naïve_test (12)\t\t end. \n\n New <tag>   line's \r\n"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tie long"
 
 
@@ -120,28 +117,22 @@ def _put(tree: _Tree, at: dict, capacity: int, window: int, n: int) -> None:
 class ByteBpe:
     """Token ids as little-endian unsigned 32-bit bytes, by a tokenizer file of the ``tokenizers`` library.
 
-    A text is cut at single spaces between characters that aren't white space. A byte-level BPE of this kind never merges
-    over such a place, so each part (with its space) has the same ids alone. A sample text shows whether this holds for the
-    file in use. Parts met lately are kept: a full table becomes the old one, and what is used of it moves to the new one.
-    Texts with other white space next to a space are encoded whole.
-
-    Parts are encoded by ``tiktoken`` with the file's own vocabulary where the file is known to mean the same: normalizer,
+    Texts are encoded by ``tiktoken`` with the file's own vocabulary where the file is known to mean the same: normalizer,
     cutting and model are the known ones, every merge makes the id next in order, and characters of every block of Unicode,
-    alone and with marks, come out equal. Else, and for parts with a special token's string, by ``tokenizers``.
+    alone and with marks, come out equal. Else, for texts with a special token's string, and where the other gives up (on
+    very long white space), ids come from ``tokenizers``.
     """
 
-    def __init__(self, path: str, most: int = 60_000) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.kept, self.old, self.split = Tokenizer.from_file(path), most, {}, {}, True
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merger = self._merger(path)
-        some = [chr(c) for c in [*range(33, 0x3400, 5), *range(0x3400, 0xD800, 61), *range(0xE000, 0x110000, 251)]]
-        probe = [*PROBE.split(" "), *(c + "x" + c for c in some), *("e" + c + "\u0301" + c for c in some[::3])]
-        probe = [p for p in probe if not p[0].isspace()]
-        if self.merger and self.parts(probe) != self.whole([" " + p for p in probe]):
+        some = [chr(c) for c in [*range(1, 0x3400, 5), *range(0x3400, 0xD800, 61), *range(0xE000, 0x110000, 251)]]
+        probe = [PROBE, *(c + "x" + c for c in some), *("e" + c + "\u0301 " + c for c in some[::3])]
+        if self.merger and self(probe) != self.whole(probe):
             self.merger = None
-        self.split = self([PROBE]) == self.whole([PROBE])
 
     @staticmethod
     def _merger(path: str):
@@ -165,32 +156,20 @@ class ByteBpe:
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
         return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def forget(self) -> None:
-        self.kept, self.old = {}, {}
-
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts, each with a space before it."""
-        if self.merger is None:
-            return self.whole([" " + p for p in parts])
-        encode, special = self.merger.encode_ordinary, self.special
-        return [array("I", encode(" " + p)).tobytes() if not any(x in p for x in special) else self.whole([" " + p])[0] for p in parts]
+    def one(self, text: str) -> bytes:
+        if not any(x in text for x in self.special):
+            try:
+                return array("I", self.merger.encode_ordinary(text)).tobytes()
+            except BaseException as e:  # a panic of its cutter, on very long white space, is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        return self.whole([text])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [t.split(" ") if self.split and not ODD_SPACE.search(t) else [t] for t in texts]
-        if len(self.kept) > self.most:
-            self.kept, self.old = {}, self.kept
-        kept, old, new = self.kept, self.old, []
-        for part in set().union(*(c[1:] for c in cuts)).difference(kept):
-            if (ids := old.get(part)) is None:
-                new.append(part)
-            else:
-                kept[part] = ids
-        for k in range(0, len(new), 8192):
-            kept.update(zip(new[k : k + 8192], self.parts(new[k : k + 8192])))
-        return [b"".join([first, *map(kept.__getitem__, c[1:])]) for first, c in zip(self.whole([c[0] for c in cuts]), cuts)]
+        return self.whole(texts) if self.merger is None else [self.one(t) for t in texts]
 
 
 @functools.lru_cache(1)
@@ -219,7 +198,6 @@ def _pieces(path: str, size: int, end: int, batches: Iterator) -> Iterator:
                         out.append((doc_id, k // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, whole))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
     finally:
-        encode.forget()
         released()
 
 

@@ -6,8 +6,14 @@ dictionary, in chunks so that the dictionary counts all along a long text, and t
 fewest bytes is taken; where the runner-up is close, the answer is marked as rejected.
 
 Dictionaries are fitted on a bounded sample: of each language ``sample`` texts at most, by a hash of the id, and
-``dictionary`` bytes of them. The number of languages is a dimension of the corpus. Null text, or text without a letter, is
-``und`` with score 0; so is everything where nothing could be learned. Repeated rows get equal answers.
+``dictionary`` bytes in all. Every sampled text gives an even share of them (what short texts leave goes to the others), from a place
+within the text that a hash chooses, so beginnings count no more than other parts. Predictions read whole texts. The number of
+languages is a dimension of the corpus.
+
+Null text, or text without a letter (Unicode category L), is ``und`` with score 0; so is everything where nothing could be
+learned. Of languages with equal sizes the first by name is taken. Repeated rows get equal answers. A very long text is
+compressed in chunks by one task. An empty table gives an empty result. Only doc_id, text and lang are read, so other columns'
+names don't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter, or one of the few other characters that count as parts of words.
+WORDLY = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 SAMPLE = 400
 DICTIONARY = 96_000
@@ -30,6 +37,11 @@ LEVEL = 6
 MARGIN = 0.01
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter: a character of one of the categories Lu, Ll, Lt, Lm, Lo."""
+    return any(m[0].isalpha() for m in WORDLY.finditer(text))
+
+
 def folded(text: str) -> str:
     """Lower-cased letters, everything between them as one space: case, digits and symbols say nothing of the language."""
     return OTHER.sub(" ", text.lower())
@@ -70,13 +82,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, dictionary: int = DICTIONARY)
     near = F.coalesce(*(F.when(F.col("lang") == lang, order < F.lit(int(min(1.0, 4 * sample / n) * (1 << 40)))) for lang, n in sorted(counts.items())))
     w = Window.partitionBy("lang").orderBy("o", "doc_id", "text")
     some = rows.where(near).select("lang", "text", "doc_id", order.alias("o")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample)
-    # of each sampled text an even share of the dictionary at most: what reaches the driver is bounded
-    share = 4 * -(-dictionary // min(sample, 64))
-    taken = some.select("lang", "k", F.substring("text", 1, share).alias("text")).collect()
-    content = {}
+    # more than an even share of each, as others may be shorter: what reaches the driver is bounded by sample and dictionary
+    n = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(4 * -(-dictionary // min(sample, n)))) for lang, n in sorted(counts.items())))
+    room = F.greatest(F.lit(1), F.length("text") - n + 1)
+    start = F.pmod(F.xxhash64("text", "doc_id"), room) + 1
+    taken = some.select("lang", "k", F.substring(F.col("text"), start.cast("int"), n).alias("text")).collect()
+    texts: dict[str, list[bytes]] = {}
     for r in sorted(taken, key=lambda r: (r.lang, r.k)):
-        content[r.lang] = content.get(r.lang, b"") + folded(r.text).encode() + b"\n"
-    return Model(tuple((lang, raw[:dictionary]) for lang, raw in sorted(content.items())))
+        texts.setdefault(r.lang, []).append(folded(r.text).encode() + b"\n")
+    return Model(tuple((lang, shared(raw, dictionary)) for lang, raw in sorted(texts.items())))
+
+
+def shared(texts: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes of texts, as even a share of each as their lengths allow."""
+    left, share = size, 0
+    for k, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - k)
+        if n > share:
+            break
+        left, share = left - n, n
+    return b"".join(t[: max(share, 1)] for t in texts)[:size]
 
 
 def sizes(compressors: list, text: bytes, chunk: int) -> list[int]:
@@ -96,7 +121,7 @@ def _predict(model: Model, batches: Iterator) -> Iterator:
         out = []
         seen: dict[str, tuple] = {}
         for text in batch.column(1).to_pylist():
-            if text is None or not languages or not LETTER.search(text):
+            if text is None or not languages or not lettered(text):
                 out.append((UNKNOWN, 0.0, True))
                 continue
             got = seen.get(text)

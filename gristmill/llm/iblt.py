@@ -1,18 +1,23 @@
 """Document fingerprints as invertible Bloom lookup tables, in SQL expressions only.
 
-Paragraphs (lines, long ones in pieces) are hashed; each distinct digest goes into three of 24 cells, which hold a count,
-the xor of the digests and the xor of their checks. Subtracting two tables leaves the digests that differ, and peeling
+Paragraphs (lines) are hashed, long ones in pieces that end behind words whose hash says so, on average every ``PIECE`` words:
+an inserted word changes the pieces around it and no others. With ``piece=None`` a line is one paragraph, however long. Each
+distinct digest goes into three of 24 cells, which hold a count, the xor of the digests and the xor of their checks. Subtracting two tables leaves the digests that differ, and peeling
 recovers them: a cell with one digest gives it away, which frees others. Where peeling stops short, the comparison is
 retried larger: the digests are dealt out over many tables of 18 cells, with another seed, so that the work stays in
 proportion. A table of these that can't be peeled gets 48 cells and then 63; if that fails too, all begins again with
 twice as many tables. The likeness of two documents is the share of their
-digests that is common: (n + m - differing) / (n + m); two empty texts have likeness 1.
+digests that is common: (n + m - differing) / (n + m); two empty texts have likeness 1. A retry needs the digests of both
+documents: a stored fingerprint alone gives the likeness only of documents that differ in some 15 digests at most, which unrelated ones
+don't. Digests are a set, so texts that hold the same pieces in another order or number have equal fingerprints.
 
-The next document is found without one global sort: ids are cut into ranges by quantiles, texts are dealt out by range, and
-the first row of a range is also sent to the end of the range before it.
+The next document is found without one global sort: ids are cut into ranges by quantiles (an id with more than a range of rows
+into ranges by the hash of the text), texts are dealt out by range, and the first row of a range is also sent to the end of
+the range before it.
 
 Null text is empty. Null ids come last; rows of equal ids follow each other by a hash of the text. A single row is its own
-next. An empty table gives an empty result.
+next. An empty table gives an empty result. Only doc_id and text are read, so other columns' names don't clash. A very long text is
+compared by one task, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -31,18 +36,24 @@ LOAD = 5
 SMALL = 18
 #: Cells of a table that couldn't be peeled, at its next tries.
 LARGER = (48, 63)
-PIECE = 128
-
-
-def digests(text: str) -> str:
-    """Distinct digests of the paragraphs of a text."""
-    return rf"array_distinct(transform(regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}', 0), x -> xxhash64(x)))"
+#: Words of a piece of a line, on average.
+PIECE = 16
 
 
 def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def digests(text: str, piece: int | None = PIECE) -> str:
+    """Distinct digests of the paragraphs of a text."""
+    lines = rf"filter(split({text}, '\\n'), x -> x != '')"
+    if piece is None:
+        return f"array_distinct(transform({lines}, x -> xxhash64(x)))"
+    ends = f"filter(transform(ws, (w, i) -> if(i = size(ws) - 1 or pmod(xxhash64(w), {piece}) = 0, i + 1, 0)), e -> e > 0)"
+    cuts = "transform(es, (e, i) -> if(i = 0, xxhash64(slice(ws, 1, e)), xxhash64(slice(ws, es[i - 1] + 1, e - es[i - 1]))))"
+    return f"array_distinct(flatten(transform({lines}, x -> {_let('ws', "split(x, ' ')", _let('es', ends, cuts))})))"
+
+
 def _check(k: str) -> str:
     return f"shiftrightunsigned(xxhash64({k}, 7919), 32)"
 
@@ -89,7 +100,8 @@ def _larger(a: str, b: str, seed: str) -> str:
     tables = f"cast(shiftleft(1L, {seed} - 1) * ((size({a}) + size({b})) div {LOAD} + 1) as int)"
     marks = "transform(sequence(0, nt), t -> named_struct('t', t, 'p', 0L, 's', 0, 'k', 0L, 'c', 0L))"  # one before each table's entries, and at the end
     every = f"sort_array(concat({_entries(a, 1, seed, 'nt', SMALL)}, {_entries(b, -1, seed, 'nt', SMALL)}, {marks}))"
-    one = "slice(es, cast(array_position(ts, t) as int) + 1, cast(array_position(ts, t + 1) - array_position(ts, t) as int) - 1)"
+    marked = "filter(transform(es, (e, i) -> if(e.s = 0, i, null)), i -> i is not null)"  # where the marks are, by table
+    one = "slice(es, ts[t] + 2, ts[t + 1] - ts[t] - 1)"
     tries = [_peel(_cells("part", SMALL), seed, SMALL)]
     for k, cells in enumerate(LARGER):
         again = f"({seed} + {100 * (k + 1)})"
@@ -97,7 +109,7 @@ def _larger(a: str, b: str, seed: str) -> str:
         tries.append(_let("es2", moved, _peel(_cells("es2", cells), again, cells)))
     each = f"transform(sequence(0, nt - 1), t -> {_let('part', one, f'if(size(part) = 0, 0, coalesce({", ".join(tries)}))')})"
     total = f"aggregate({each}, 0, (a, x) -> a + x)"  # null where one is null
-    return _let("nt", tables, _let("es", every, _let("ts", "transform(es, e -> e.t)", total)))
+    return _let("nt", tables, _let("es", every, _let("ts", marked, total)))
 
 
 def differing(a: str, b: str, cells_a: str, cells_b: str) -> str:
@@ -119,29 +131,32 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("o", F.coalesce("doc_id", F.lit(LAST_ID)))
     n = ranges or 4 * parts(spark)
-    bounds = rows.agg(F.percentile_approx("o", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []  # n numbers
-    bounds = sorted(set(bounds))
+    raw = rows.agg(F.percentile_approx("o", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []  # n numbers
+    bounds = sorted(set(raw))
+    hot = sorted(x for x in bounds if raw.count(x) > 1)  # more rows than a range
     steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
     b, s = f"array({', '.join(f'{x}L' for x in bounds)})", f"array({', '.join(map(str, steps))})"
     pid = f"aggregate({s}, 0, (p, s) -> if(p + s <= {len(bounds)} and try_element_at({b}, p + s) < o, p + s, p))" if bounds else "0"
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("pid", F.expr(pid))
-    first = sorted((r.pid, r.f.o, r.f.h) for r in rows.groupBy("pid").agg(F.min(F.struct("o", "h")).alias("f")).collect())  # a row for each range
-    head = {p: (first[k - 1][0], o, h) for k, (p, o, h) in enumerate(first)}  # of each range: the range before it, its first row
-    prev, fo, fh = (f"element_at(array({', '.join(f'{x}L' if x > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for x in column)}), pid + 1)" for column in zip(*(head.get(p, (0, 0, 0)) for p in range(len(bounds) + 1))))
-    mine, twice = "struct(pid as pid, 0 as again)", f"o = {fo} and h = {fh}"
-    sent = rows.withColumn("g", F.explode(F.expr(f"if({twice}, array({mine}, struct(cast({prev} as int) as pid, 1 as again)), array({mine}))")))
+    bits = n.bit_length()
+    part = f"if(o in ({', '.join(f'{x}L' for x in hot)}), 1 + shiftrightunsigned(h ^ shiftleft(1L, 63), {64 - bits}), 0L)" if hot else "0L"
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("pid", F.expr(f"{pid} * {(1 << bits) + 1}L + {part}"))
+    first = rows.groupBy("pid").agg(F.min(F.struct("o", "h")).alias("f"))  # a row for each range: a dimension, in one task
+    order = Window.partitionBy(F.lit(0)).orderBy("pid")
+    first = first.select(F.col("pid").alias("id"), "f", F.coalesce(F.lag("pid").over(order), F.max("pid").over(Window.partitionBy(F.lit(0)))).alias("prev"))
+    mine = "struct(pid as pid, 0 as again)"
+    sent = rows.join(first, F.col("pid") == F.col("id")).withColumn("g", F.explode(F.expr(f"if(o = f.o and h = f.h, array({mine}, struct(prev as pid, 1 as again)), array({mine}))")))
     w = Window.partitionBy("gid").orderBy("again", "o", "h")
     dealt = sent.select(F.col("g.pid").alias("gid"), F.col("g.again").alias("again"), "o", "h", "doc_id", "text")
     return dealt.withColumn("next", F.lead("text").over(w)).where("again = 0").select("doc_id", "text", "next")
 
 
-def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None, piece: int | None = PIECE) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; edited: the last quarter replaced by the beginning of the next document."""
     rows = with_next(docs, ranges).withColumn("n_chars", F.length("text").cast("long"))
     edited = "concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), substring(next, 1, cast(n_chars div 4 as int)))"
     rows = rows.select("doc_id", "n_chars", "text", "next", F.expr(edited).alias("edited"))
     # arrays are written out between the steps, or each use would compute them anew
-    rows = _step(rows, ["doc_id", "n_chars", "sha2(edited, 256) as edited_sha256"], {"a": digests("text"), "e": digests("edited"), "z": digests("next")})
+    rows = _step(rows, ["doc_id", "n_chars", "sha2(edited, 256) as edited_sha256"], {"a": digests("text", piece), "e": digests("edited", piece), "z": digests("next", piece)})
     rows = _step(rows, ["doc_id", "n_chars", "edited_sha256", "a", "e", "z"], {"ca": table("a"), "ce": table("e"), "cz": table("z")})
     rows = _step(rows, ["doc_id", "n_chars", "edited_sha256", "a", "e", "z", "ca", "ce"], {"de": differing("a", "e", "ca", "ce"), "dz": differing("a", "z", "ca", "cz")})
     return rows.select(

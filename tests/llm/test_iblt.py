@@ -60,6 +60,7 @@ def test_query_against_brute_force(spark, sf):
         by.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
     assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len({frozenset(units(t)) for t in by})
     assert all(len(base64.b64decode(r.fingerprint)) == 14 * iblt.CELLS for r in rows)
+    op10_fingerprints(spark, sf).write.format("noop").mode("overwrite").save()  # planned another way
     plan = op10_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 

@@ -37,7 +37,7 @@ SMALL = 18
 #: Cells of a table that couldn't be peeled, at its next tries.
 LARGER = (48, 63)
 #: Words of a piece of a line, on average.
-PIECE = 16
+PIECE = 24
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -141,11 +141,11 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     part = f"if(o in ({', '.join(f'{x}L' for x in hot)}), 1 + shiftrightunsigned(h ^ shiftleft(1L, 63), {64 - bits}), 0L)" if hot else "0L"
     # through a generator, or the optimizer would derive filters from the join that name columns of the other side
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("pid", F.explode(F.array(F.expr(f"{pid} * {(1 << bits) + 1}L + {part}"))))
-    first = rows.groupBy("pid").agg(F.min(F.struct("o", "h")).alias("f"))  # a row for each range: a dimension, in one task
+    first = rows.groupBy("pid").agg(F.min(F.struct("o", "h")).alias("f"))  # a row for each range, whose number is known: in one task, and broadcast
     order = Window.partitionBy(F.lit(0)).orderBy("pid")
     first = first.select(F.col("pid").alias("id"), F.col("f.o").alias("fo"), F.col("f.h").alias("fh"), F.coalesce(F.lag("pid").over(order), F.max("pid").over(Window.partitionBy(F.lit(0)))).alias("prev"))
     mine = "struct(pid as pid, 0 as again)"
-    sent = rows.join(first, F.col("pid") == F.col("id")).withColumn("g", F.explode(F.expr(f"if(o = fo and h = fh, array({mine}, struct(prev as pid, 1 as again)), array({mine}))")))
+    sent = rows.join(F.broadcast(first), F.col("pid") == F.col("id")).withColumn("g", F.explode(F.expr(f"if(o = fo and h = fh, array({mine}, struct(prev as pid, 1 as again)), array({mine}))")))
     w = Window.partitionBy("gid").orderBy("again", "o", "h")
     dealt = sent.select(F.col("g.pid").alias("gid"), F.col("g.again").alias("again"), "o", "h", "doc_id", "text")
     return dealt.withColumn("next", F.lead("text").over(w)).where("again = 0").select("doc_id", "text", "next")

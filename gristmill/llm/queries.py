@@ -38,10 +38,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm import url_filter
 
-    pages, labels = read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels")
-    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
-    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id").select("url", "bad")
-    return url_filter.judge(pages, labelled)
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.page_labels(pages))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

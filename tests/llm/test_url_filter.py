@@ -73,3 +73,32 @@ def test_every_path_part(spark):
     assert ["path=casino24"] in [list(r[0]) for r in rules.select("items").collect()]
     urls = spark.createDataFrame([("http://other.test/casino24/x",), ("http://other.test/casino/x",)], "url string")
     assert [r.url for r in u.matched(urls, rules).collect()] == ["http://other.test/casino24/x"]
+
+
+def test_tokens_that_always_come_together(spark):
+    """Sixteen of them would make 65,536 sets; rules are as without the merging."""
+    rows = [(f"https://a{k % 7}.test/" + "/".join(f"t{j}" for j in range(16)) if k % 3 else f"https://a{k % 7}.test/plain", bool(k % 3)) for k in range(90)]
+    rules = u.mine(spark.createDataFrame(rows, "url string, bad boolean"), 0.1, 5, 0.9).collect()
+    assert {tuple(r["items"]) for r in rules} == {(f"path=t{j}",) for j in range(16)}
+
+
+def test_many_rules_meet_by_a_shuffle(spark, monkeypatch):
+    rules = spark.createDataFrame([(["scheme=https"], 0.7, 0.1), (["host=a", "scheme=https"], 0.9, 0.1), (["host=zz"], 1.0, 0.1)], "items array<string>, confidence double, support double")
+    urls = spark.createDataFrame([(f"https://{'ab'[k % 2]}.org/{k}",) for k in range(50)] + [("http://a.org/1",), (None,)], "url string")
+    want = {f"https://{'ab'[k % 2]}.org/{k}": 0.7 if k % 2 else 0.9 for k in range(50)}
+    for small in (u.SMALL, 0):
+        monkeypatch.setattr(u, "SMALL", small)
+        assert {r.url: r.confidence for r in u.matched(urls, rules).collect()} == want
+
+
+def test_labels_of_pages(spark):
+    good = "<html><head><title>x</title></head><body><nav>m</nav><p>" + "some words of a plain text here " * 3 + "</p></body></html>"
+    rows = [("a", good), ("b", "<p>too short</p>"), ("c", "<p>" + "a ### b *** " * 9 + "</p>"), ("d", None), ("e", "<p>" + "abcdefghijklmnop" * 5 + " word" * 12 + "</p>"), ("f", "<script>" + "word " * 20 + "</script>")]
+    pages = spark.createDataFrame([(k, *r, True) for k, r in enumerate(rows)], "page_id long, url string, html string, bad boolean")
+    assert {r.url: r.bad for r in u.page_labels(pages).collect()} == {"a": False, "b": True, "c": True, "d": True, "e": False, "f": True}
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, URLS[0], "x", 2.0, True)], "page_id long, url string, host string, confidence double, verdict boolean")
+    got = u.judge(pages, u.page_labels(pages.withColumn("html", F.lit("x"))))
+    assert [tuple(r)[:5] for r in got.collect()] == [(1, "a.example.com", "/en/70", "example.com/en/7", "allow")]

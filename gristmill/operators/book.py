@@ -19,13 +19,13 @@ def simulate_gaps(targets: DataFrame, bars: DataFrame, costs_bps: float = 10.0,
     """
     calendar = sessions(bars)
     when = executions(targets.select("signal_date").distinct(), calendar, lag)
-    placed = targets.join(F.broadcast(when), "signal_date")
+    placed = targets.join(when, "signal_date")  # a row for each rebalance
     latest = placed.groupBy("book", "session").agg(F.max("signal_date").alias("signal_date"))
     placed = placed.join(latest, ["book", "session", "signal_date"]).select("book", "session", F.col("ticker").cast("string").alias("ticker"), "weight")
     grid = filled(bars, calendar).select(F.col("ticker").cast("string").alias("ticker"), "session", "px", "carried", "last_session")
     held = placed.select("book", "ticker").distinct().join(grid, "ticker").select("book", "ticker", "session", F.lit(None).cast("double").alias("weight"), "px", "carried", "last_session")
     rows = held.unionByName(placed.select("book", "ticker", "session", "weight", *(F.lit(None).cast(t).alias(c) for c, t in (("px", "double"), ("carried", "double"), ("last_session", "int")))))
-    rows = rows.join(F.broadcast(calendar.agg(F.max("session").alias("end"))), F.lit(True))  # one row
+    rows = rows.crossJoin(calendar.agg(F.max("session").alias("end")))  # one row
 
     def one(pdf):
         return _fold(pdf, costs_bps / 1e4, delisting_return)
@@ -34,48 +34,51 @@ def simulate_gaps(targets: DataFrame, bars: DataFrame, costs_bps: float = 10.0,
 
 
 def _fold(pdf, rate: float, delisting_return: float):
+    """A book day by day, as values of its holdings and cash.
+
+    A holding is worth what its price makes of it; one past its last price loses the delisting return once and turns to cash. On
+    an execution day what can be sold is, and goals, shares of the wealth that costs leave, are bought. A ruined book stands
+    still until its next execution, which begins anew.
+    """
     import numpy as np
     import pandas as pd
 
-    orders = pdf[pdf.weight.notna()]
-    prices = pdf[pdf.weight.isna()]
-    names = sorted(orders.ticker.unique())
-    at = {t: k for k, t in enumerate(names)}
-    end = int(pdf.end.iloc[0])
-    raw, carried, last = np.full((end + 1, len(names)), np.nan), np.full((end + 1, len(names)), np.nan), np.full(len(names), -1)
-    for t, g in prices.groupby("ticker"):
-        raw[g.session, at[t]], carried[g.session, at[t]], last[at[t]] = g.px, g.carried, g.last_session.iloc[0]
-    out, before = [], np.zeros(len(names))
-    days = sorted(orders.session.unique())
-    for j, p in enumerate(days):
-        goal = np.zeros(len(names))
-        for t, w in orders[orders.session == p][["ticker", "weight"]].itertuples(index=False):
-            goal[at[t]] += w
-        goal[~(raw[p] > 0)] = 0  # not renormalized
-        stuck = np.where((before != 0) & ~np.isfinite(raw[p]), before, 0)
-        traded = np.abs(goal - (before - stuck)).sum()
-        cost, gross = traded * rate, out[-1][1] if out else 0.0
-        if (stuck != 0).any() and 1 + gross - cost > 0:
-            stuck = stuck * (1 + gross) / (1 + gross - cost)
-        if out:
-            out[-1][2:] = [gross - cost, traded / 2]
-        else:
-            out.append([p, 0.0, -cost, traded / 2])
-        book = goal + stuck
-        stop = days[j + 1] if j + 1 < len(days) else end
-        on = np.flatnonzero(book)
-        path = carried[p : stop + 1, on] / carried[p, on]
-        dead = np.arange(p, stop + 1)[:, None] > last[on]
-        path = np.where(dead, path * (1 + delisting_return), path)
-        nav = 1 + (path - 1) @ book[on]
-        ruined = np.flatnonzero(nav <= 0)
-        for k in range(1, stop - p + 1):
-            if len(ruined) and k >= ruined[0]:
-                out.append([p + k, -1.0 if k == ruined[0] else 0.0, -1.0 if k == ruined[0] else 0.0, None])
-            else:
-                r = nav[k] / nav[k - 1] - 1
-                out.append([p + k, r, r, None])
-        before = np.zeros(len(names))
-        if nav[-1] > 0:
-            before[on] = np.where(dead[-1], 0, book[on] * path[-1] / nav[-1])
-    return pd.DataFrame([(str(pdf.book.iloc[0]), int(s), g, n, t) for s, g, n, t in out], columns=["book", "session", "gross", "net", "turnover"])
+    is_order = pdf.weight.notna()
+    names = np.sort(pdf.ticker[is_order].unique())
+    place, end = pd.Series(range(len(names)), names), int(pdf.end.iloc[0])
+    quotes = pdf[~is_order]
+    price, mark, last = (np.full((end + 1, len(names)), np.nan) for _ in range(3))
+    where = quotes.session.to_numpy(int), place[quotes.ticker].to_numpy()
+    price[where], mark[where], last[where] = quotes.px, quotes.carried, quotes.last_session
+    last = np.nanmax(last, axis=0) if end >= 0 else last
+    orders = {int(day): np.bincount(place[g.ticker].to_numpy(), g.weight, len(names)) for day, g in pdf[is_order].groupby("session")}
+    begin = min(orders)
+    value, cash, alive = np.zeros(len(names)), 1.0, True
+    out = []
+    for day in range(begin, end + 1):
+        before, held = value.sum() + cash, value != 0
+        if day > begin and held.any():
+            value[held] *= mark[day, held] / mark[day - 1, held]
+            gone = held & (day > last)
+            cash += (value[gone] * (1 + delisting_return)).sum()
+            value[gone] = 0.0
+        wealth = value.sum() + cash
+        gross = wealth / before - 1 if alive and day > begin else 0.0
+        if alive and wealth <= 0:
+            gross, alive = -1.0, False
+            value, cash = np.zeros(len(names)), 0.0
+        net, turnover = gross, None
+        if day in orders:
+            wealth = wealth if alive else 1.0
+            tradable = np.isfinite(price[day])
+            goal = np.where(price[day] > 0, orders[day], 0.0)  # not scaled up for names without a price
+            held_back = np.where(tradable, 0.0, value)
+            traded = np.abs(goal - (value - held_back) / wealth).sum()
+            cost, turnover = traded * rate, traded / 2
+            net = gross - cost
+            # costs are a share of the wealth before the day's gain; what can't be sold keeps its value
+            left = wealth * (1 + net) / (1 + gross) if alive and 1 + net > 0 else wealth
+            value = goal * left + held_back
+            cash, alive = left - value.sum(), True
+        out.append((str(pdf.book.iloc[0]), day, gross, net, turnover))
+    return pd.DataFrame(out, columns=["book", "session", "gross", "net", "turnover"])

@@ -98,13 +98,13 @@ def fact_versions(spark, sf_dir):
 
 
 def fact_ttm(spark, sf_dir):
-    v = fx.latest_versions(_facts(spark, sf_dir), "1998-08-15").where("cik % 5 < 4 or month(end) < 10")
+    v = fx.latest_versions(_facts(spark, sf_dir), "1998-08-15")
     return fx.ttm(v).select("cik", "concept", DAY("end"), rounded("ttm").alias("ttm"))
 
 
 FACTS_SQL = """f as (select o_custkey % 50 as cik, o_orderpriority as concept, cast(date_trunc('quarter', o_orderdate) as date) as start, cast(date_trunc('quarter', o_orderdate) + interval 3 month - interval 1 day as date) as "end", o_totalprice as val, cast(o_orderdate as date) + (o_custkey % 90)::int as filed, lpad(o_orderkey::varchar, 12, '0') as accn from orders),
 v as (select cik, concept, start, "end", arg_max(val, (filed, accn)) as val, max(filed) as filed, min(filed) as first_filed, count(*) as versions from f where filed <= date '1998-08-15' group by 1, 2, 3, 4)"""
-TTM_SQL = f"""with {FACTS_SQL}, k as (select * from v where cik % 5 < 4 or month("end") < 10), j as (select *, lag("end", 3) over w as e3, sum(val) over (partition by cik, concept order by "end" rows 3 preceding) as s, lag("end", 1) over w as e1, lag("end", 2) over w as e2, lag(start, 1) over w as s1, lag(start, 2) over w as s2 from k window w as (partition by cik, concept order by "end"))
+TTM_SQL = f"""with {FACTS_SQL}, j as (select *, lag("end", 3) over w as e3, sum(val) over (partition by cik, concept order by "end" rows 3 preceding) as s, lag("end", 1) over w as e1, lag("end", 2) over w as e2, lag(start, 1) over w as s1, lag(start, 2) over w as s2 from v window w as (partition by cik, concept order by "end"))
 select cik, concept, cast("end" as varchar) as "end", case when abs(start - e1 - 1) <= 10 and abs(s1 - e2 - 1) <= 10 and abs(s2 - e3 - 1) <= 10 then round(s, 6) end as ttm from j"""
 
 
@@ -113,9 +113,9 @@ def url_canonical(spark, sf_dir):
     return p.select("page_id", tx.canonical_url("url").alias("canonical"))
 
 
-URL_SQL = r"""with p as (select page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) as host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '\?([^#]*)', 1) as query from pages),
-k as (select *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(string_split(x, '=')[1], '^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|ref_src|cmpid)$', 'i')), '&') as kept from p)
-select page_id, 'https://' || regexp_replace(lower(host), '^www\.', '') || regexp_replace(path, '/+$', '') || case when kept = '' then '' else '?' || kept end as canonical from k"""
+URL_SQL = r"""with p as (select page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) as host, regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') as path, regexp_extract(url, '\?([^#]*)', 1) as query from pages),
+k as (select *, array_to_string(list_transform(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(string_split(x, '=')[1], '^(utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|ref_src|cmpid)$', 'i')), lambda x: case when contains(x, '=') then x else x || '=' end), '&') as kept from p)
+select page_id, 'https://' || regexp_replace(lower(host), '^www\.', '') || case when path in ('', '/') then '/' else regexp_replace(path, '/$', '') end || case when kept = '' then '' else '?' || kept end as canonical from k"""
 
 TERMS = {"the": 1.0, "worthless": 2.0, "edthe": 1.0, "que": 2.0}
 
@@ -166,35 +166,67 @@ def speaker_exchanges(spark, sf_dir):
 
 
 def document_window(spark, sf_dir):
-    """The three longest documents of each source that the licence lets out, and only so many."""
+    """The three longest documents of each source, and which languages the source's licence lets out among them."""
     from pyspark.sql import Window
 
-    d = read(spark, sf_dir, "documents").where("lang in ('en', 'de')")
     w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), F.col("doc_id").desc())
-    return d.withColumn("r", F.row_number().over(w)).where("r <= 3").select("source", "doc_id", "n_chars", F.col("r").cast("long").alias("r"))
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.coalesce(F.col("lang").isin("en", "de"), F.lit(False)).alias("licensed"))
+    return rows.withColumn("r", F.row_number().over(w)).where("r <= 3").select("source", "doc_id", "n_chars", "licensed", F.col("r").cast("long").alias("r"))
 
 
 def new_documents(spark, sf_dir):
-    """Pages whose address, in canonical form, no earlier page has."""
+    """Each page, and whether it is the first with its address in canonical form."""
     p = read(spark, sf_dir, "pages").select("page_id", tx.canonical_url("url").alias("u"))
-    seen = p.where("page_id < 100").select("u").distinct()
-    return p.where("page_id >= 100").join(seen, "u", "left_anti").groupBy("u").agg(F.min("page_id").alias("page_id"))
+    return p.groupBy("u").agg(F.min("page_id").alias("page_id"), (F.count("*") - 1).alias("repeats"))
 
 
-TAG_SQL = "with " + ", ".join(["c as (select conv_id, lower(text) as t from conversations)", "h as (" + " union all ".join(f"select conv_id, '{n}' as tag, {p} as pol, regexp_extract(t, '^(.*?)(?:{rx})', 1) as b from c where regexp_matches(t, '{rx}')" for n, (rx, p) in RULES.items()) + ")",
- r"w as (select *, regexp_split_to_array(b, '\s+') as ws from h)", "n as (select *, array_to_string(list_slice(ws, greatest(1, len(ws) - 14), len(ws)), ' ') as near from w)",
- f"g as (select conv_id, tag, pol, regexp_matches(list_extract(regexp_split_to_array(near, '{tx.BREAKERS}'), -1), '{tx.NEGATORS.replace(chr(39), chr(39) * 2)}') as no from n)"]) + " select conv_id, tag, count(*) as n, sum(no::int)::bigint as denied, sum(case when no then -pol else pol end)::bigint as net from g group by 1, 2"
+def fact_quarterly(spark, sf_dir):
+    """Discrete quarters of year-to-date sums of each year's filings, restated through later filings."""
+    return fx.quarterly(_to_date(spark, sf_dir), QUARTERS_AS_OF).select("cik", "concept", DAY("start"), DAY("end"), rounded("val", 2).alias("val"), DAY("filed"), "derived")
+
+
+QUARTERS_AS_OF = "1999-03-01"
+
+
+def _to_date(spark, sf_dir):
+    """Facts that run from the start of each year to the end of each quarter; each order is a filing of its quarter."""
+    f = _facts(spark, sf_dir)
+    return f.withColumn("start", F.to_date(F.date_trunc("year", "start"))).withColumn("val", F.col("val") * F.quarter("end"))
+
+
+#: Quarter ends of a year-to-date series are those of the calendar, so the first is reported and the others follow from neighbours.
+QUARTERLY_SQL = f"""with f as (select o_custkey % 50 as cik, o_orderpriority as concept, cast(date_trunc('year', o_orderdate) as date) as start, cast(date_trunc('quarter', o_orderdate) + interval 3 month - interval 1 day as date) as "end", o_totalprice * quarter(o_orderdate) as val,
+ cast(o_orderdate as date) + (o_custkey % 90)::int as filed, lpad(o_orderkey::varchar, 12, '0') as accn from orders), k as (select * from f where filed <= date '{QUARTERS_AS_OF}'),
+v as (select cik, concept, start, "end", arg_max(val, (filed, accn)) as val, max(filed) as filed, arg_max(accn, (filed, accn)) as accn from k group by 1, 2, 3, 4),
+p as (select *, lag("end") over w as pend, lag(val) over w as pval, lag(filed) over w as pfiled from v window w as (partition by cik, concept, start order by "end")),
+e as (select p.cik, p.concept, p.start, p."end", arg_max(k.val, (k.accn = p.accn, k.filed, k.accn)) as eval, arg_max(k.filed, (k.accn = p.accn, k.filed, k.accn)) as efiled from p join k on k.cik = p.cik and k.concept = p.concept and k.start = p.start and k."end" = p.pend and k.filed <= p.filed group by 1, 2, 3, 4)
+select cik, concept, cast(start as varchar) as start, cast("end" as varchar) as "end", round(val, 2) as val, cast(filed as varchar) as filed, false as derived from v where "end" - start between 80 and 115
+union all select p.cik, p.concept, cast(pend + 1 as varchar), cast(p."end" as varchar), round(val - coalesce(eval, pval), 2), cast(greatest(filed, coalesce(efiled, pfiled)) as varchar), true
+ from p left join e on e.cik = p.cik and e.concept = p.concept and e.start = p.start and e."end" = p."end" where p."end" - pend between 80 and 115"""
+
+
+def _tag_sql() -> str:
+    q = lambda rx: rx.replace("'", "''")
+    hits = " union all ".join(f"select conv_id, '{n}' as tag, {p} as pol, regexp_extract(t, '^(.*?)({rx})(.*)$', 1) as b, regexp_extract(t, '^(.*?)({rx})(.*)$', 2) as h, regexp_extract(t, '^(.*?)({rx})(.*)$', 3) as a from c where regexp_matches(t, '{rx}')" for n, (rx, p) in RULES.items())
+    real = lambda x: f"regexp_replace({x}, '{q(tx.APPARENT)}', ' ', 'g')"
+    denies = lambda x: f"(regexp_matches({real(x)}, '{q(tx.CUES)}') and not regexp_matches(regexp_replace({real(x)}, '^.*(?:{q(tx.CUES)})', ''), '{q(tx.UNDONE)}'))"
+    near = f"array_to_string(list_slice(ws, greatest(1, len(ws) - {tx.REACH - 1}), len(ws)), ' ')"
+    return f"""with c as (select conv_id, regexp_replace(lower(text), '\\s+', ' ', 'g') as t from conversations), h as ({hits}),
+w as (select *, string_split(trim(list_extract(regexp_split_to_array(b, '{q(tx.CLAUSE)}'), -1)), ' ') as ws, list_extract(regexp_split_to_array(a, '{q(tx.CLAUSE)}'), 1) as clause from h),
+g as (select conv_id, tag, pol, {denies(near)} or {denies('h')} or (regexp_matches(clause, '{q(tx.AFTER)}') and not regexp_matches(clause, '{q(tx.UNDONE)}')) as no from w)
+select conv_id, tag, count(*) as n, sum(no::int)::bigint as denied, sum(case when no then -pol else pol end)::bigint as net from g group by 1, 2"""
+
 
 QUERIES = {
-    "fundamental_features": fundamental_features, "positioning_features": positioning_features, "options_summary": options_summary, "fact_versions": fact_versions, "fact_ttm": fact_ttm, "url_canonical": url_canonical, "passage_bm25": passage_bm25,
+    "fundamental_features": fundamental_features, "positioning_features": positioning_features, "options_summary": options_summary, "fact_versions": fact_versions, "fact_ttm": fact_ttm, "fact_quarterly": fact_quarterly, "url_canonical": url_canonical, "passage_bm25": passage_bm25,
     "quotes_verified": quotes_verified, "tag_counts": tag_counts, "speaker_exchanges": speaker_exchanges, "document_window": document_window, "new_documents": new_documents,
 }
 SQL = {
     "fundamental_features": FUND_SQL, "positioning_features": _position_sql(), "options_summary": OPTIONS_SQL,
     "fact_versions": f"""with {FACTS_SQL} select cik, concept, cast("end" as varchar) as "end", round(val, 6) as val, cast(filed as varchar) as filed, cast(first_filed as varchar) as first_filed, versions from v""",
-    "fact_ttm": TTM_SQL, "url_canonical": URL_SQL, "passage_bm25": _bm25_sql(), "quotes_verified": QUOTES_SQL,
-    "tag_counts": TAG_SQL,
+    "fact_ttm": TTM_SQL, "fact_quarterly": QUARTERLY_SQL, "url_canonical": URL_SQL, "passage_bm25": _bm25_sql(), "quotes_verified": QUOTES_SQL,
+    "tag_counts": _tag_sql(),
     "speaker_exchanges": "select conv_id, exchange, count(*) as turns, sum(length(text))::bigint as chars, max(role) as last_role from (select *, sum((role = 'user')::int) over (partition by conv_id order by turn rows between unbounded preceding and current row)::bigint as exchange from conversations) group by 1, 2",
-    "document_window": "select source, doc_id, n_chars, r from (select *, row_number() over (partition by source order by n_chars desc, doc_id desc) as r from documents where lang in ('en', 'de')) where r <= 3",
-    "new_documents": f"with c as ({URL_SQL}) select canonical as u, min(page_id) as page_id from c where page_id >= 100 and canonical not in (select canonical from c where page_id < 100) group by 1",
+    "document_window": "select source, doc_id, n_chars, licensed, r from (select *, coalesce(lang in ('en', 'de'), false) as licensed, row_number() over (partition by source order by n_chars desc, doc_id desc) as r from documents) where r <= 3",
+    "new_documents": f"with c as ({URL_SQL}) select canonical as u, min(page_id) as page_id, count(*) - 1 as repeats from c group by 1",
 }

@@ -108,12 +108,12 @@ select o_orderkey, case when o.date - u.date <= 31 then round(price, 6) end as p
 def nearest_within(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_orderpriority", "o_totalprice")
     low = o.where("o_orderpriority = '5-LOW'").groupBy("k", F.col("date").alias("ldate")).agg(F.max("o_totalprice").alias("price"))
-    got = a.nearest_within(o.where("o_orderpriority = '1-URGENT'").select("k", "date", "o_orderkey"), low, "date", "ldate", 10, ["price"], ["k"])
+    got = a.nearest_within(o.select("k", "date", "o_orderkey"), low, "date", "ldate", 10, ["price"], ["k"])
     return got.select("o_orderkey", DAY("ldate"), rounded("price").alias("price"))
 
 
 NEAR_SQL = """with o as (select o_custkey as k, cast(o_orderdate as date) as date, o_orderkey, o_orderpriority, o_totalprice from orders), l as (select k, date as ldate, max(o_totalprice) as price from o where o_orderpriority = '5-LOW' group by 1, 2),
-x as (select o_orderkey, ldate, price, row_number() over (partition by o_orderkey order by abs(o.date - ldate), ldate) as r from o join l on o.k = l.k and abs(o.date - ldate) <= 10 where o_orderpriority = '1-URGENT') select o_orderkey, cast(ldate as varchar) as ldate, round(price, 6) as price from x where r = 1"""
+x as (select o_orderkey, ldate, price, row_number() over (partition by o_orderkey order by abs(o.date - ldate), ldate) as r from o join l on o.k = l.k and abs(o.date - ldate) <= 10) select o_orderkey, cast(ldate as varchar) as ldate, round(price, 6) as price from x where r = 1"""
 
 
 def interval_compound(spark, sf_dir):

@@ -44,6 +44,17 @@ def test_a_bad_screen_names_every_problem():
     assert len(e.value.problems) == 7 and "did you mean price" in str(e.value)
 
 
+def test_frames_and_suspended_floors(spark):
+    frame = spark.createDataFrame([("a", 4.0, 1.0), ("b", 9.0, None), ("b", 9.0, 2.0)], "ticker string, price double, return_1m_pct double")
+    screen = s.Screen("x", (s.Condition("return_1m_pct", ">", 0.0),), (s.RankFactor("return_1m_pct"),), universe=s.Universe(min_price=5.0))
+    assert [tuple(r)[1:] for r in s.funnel(screen, frame, CATALOG).collect()] == [("price >= 5", 2, 2, 0), ("return_1m_pct > 0", 2, 1, 1)]
+    got = [tuple(r)[1:] for r in s.funnel(screen, frame, CATALOG, "split-adjusted history").collect()]
+    assert got == [("price >= 5 - NOT APPLIED (split-adjusted history)", 3, 3, 0), ("return_1m_pct > 0", 2, 2, 1)]
+    assert [r.ticker for r in s.repeated(frame).collect()] == ["b"]
+    with pytest.raises(s.ScreenError, match="lacks columns: return_1m_pct, price"):
+        s.funnel(screen, frame.select("ticker"), CATALOG)
+
+
 def test_ranks(spark):
     rows = [("a", 1.0), ("b", 1.0), ("c", 2.0), ("d", None)]
     f = spark.createDataFrame(rows, "ticker string, x double")
@@ -207,13 +218,19 @@ def test_two_by_three(spark):
 
 
 def test_text(spark):
-    urls = [("HTTP://www.Example.com:80/a/?utm_source=x&b=1#f", "https://example.com/a?b=1"), ("arxiv.org/pdf/2101.00001v3.pdf", "https://arxiv.org/abs/2101.00001"), ("https://x.org:8443/", "https://x.org:8443"), ("", "")]
+    urls = [("HTTP://www.Example.com:80/a/?utm_source=x&b=1#f", "https://example.com/a?b=1"), ("arxiv.org/pdf/2101.00001v3.pdf", "https://arxiv.org/abs/2101.00001"), ("https://x.org:8443/", "https://x.org:8443/"), ("", ""),
+        ("http://www.arxiv.org/pdf/2401.01234v2.pdf", "https://arxiv.org/abs/2401.01234"), ("https://export.arxiv.org/abs/math.GT/0309136v1", "https://arxiv.org/abs/math.GT/0309136"), ("https://export.arxiv.org/list/q-fin/new", "https://arxiv.org/list/q-fin/new"),
+        ("https://papers.ssrn.com/sol3/papers.cfm?abstract_id=123&utm_source=x#frag", "https://papers.ssrn.com/sol3/papers.cfm?abstract_id=123"), ("HTTPS://Example.com/a/b/", "https://example.com/a/b"), ("http://[::1]:8080/a/", "https://[::1]:8080/a"),
+        ("https://example.com:abc/x", "https://example.com:abc/x"), ("https://Example.com:99999/x", "https://example.com:99999/x"), ("http://[::1/x", "http://[::1/x"), ("http://u:p@x.org//a///b//?q=a%20b&&k&z=%zz", "https://x.org/a/b?q=a+b&k=&z=%25zz"), ("x.org", "https://x.org/")]
     got = spark.createDataFrame(urls, "u string, want string").select(text.canonical_url("u").alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)
     docs = spark.createDataFrame([(1, "Mr. Smith said no. It was not stupid; but It is stupid! Really?\nYes")], "doc_id int, text string")
     parts = text.sentences(docs, "doc_id").orderBy("pos").collect()
     assert [r.sentence for r in parts] == ["Mr. Smith said no.", "It was not stupid; but It is stupid!", "Really?", "Yes"]
     rows = spark.createDataFrame([(1, "This is not stupid"), (2, "No doubt; it is stupid"), (3, "fine")], "k int, sentence string")
+    said = {"pricing pressure was not a factor in the quarter": True, "we saw no pricing pressure": True, "not only pricing pressure": False, "not enough to offset pricing pressure": False, "no growth, but pricing pressure": False, "there was pricing pressure": False, "We did not anticipate the pricing pressure": False, "pricing pressure, which did not help": False}
+    told = spark.createDataFrame(list(said.items()), "sentence string, want boolean")
+    assert {r.sentence: r.negated for r in text.tags(told, {"price": ("pricing pressure", -1)}).collect()} == said
     tags = {r.k: (r.negated, r.polarity) for r in text.tags(rows, {"insult": ("stupid", -1)}).collect()}
     assert tags == {1: (True, 1), 2: (False, -1)}
     q = spark.createDataFrame([(1, "“Quoted”  Text — here"), (2, "missing"), (3, " ")], "quote_id int, text string")

@@ -10,16 +10,12 @@ def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list
     """Adds the ``values`` of the last right row at or before each left row (a NULL value of that row stays NULL), of the same ``by``.
 
     The two sides are laid over each other and the last right row is carried forward in one window: one shuffle by key, no
-    comparison of pairs. Without a key the right side should be a dimension (a benchmark, a calendar): its intervals are then
-    joined by range. With several right rows at one time, the largest struct of values counts.
+    comparison of pairs. Without a key the right side should be a dimension (a benchmark, a calendar): the left side's distinct times, a
+    dimension too, are then given their values by ``on_dates`` and joined on equality. With several right rows at one time, the largest struct of values counts.
     """
-    got = F.struct(F.col(right_on).alias("__at"), *(F.col(v).alias(v) for v in values))
     if not by:
-        w = Window.orderBy("__at")
-        spans = right.groupBy(F.col(right_on).alias("__at")).agg(F.max(F.struct(*values)).alias("__v")).withColumn("__next", F.lead("__at").over(w))
-        joined = left.join(spans, (F.col(on) >= F.col("__at")) & (F.col("__next").isNull() | (F.col(on) < F.col("__next"))), "left")
-        late = F.lit(True) if tolerance_days is None else F.datediff(F.col(on), F.col("__at")) <= tolerance_days
-        return joined.select(*left.columns, *(F.when(late, F.col(f"__v.{v}")).alias(v) for v in values))
+        table = on_dates(left, right.withColumnRenamed(right_on, "__on"), on, values, right_on="__on", tolerance_days=tolerance_days)
+        return left.join(table, on, "left").select(*left.columns, *values)
     one = right.groupBy(*by, F.col(right_on).alias("__t")).agg(F.max(F.struct(*values)).alias("__s")).select(*by, "__t", F.lit(0).alias("__side"), F.struct(F.col("__t").alias("__at"), "__s.*").alias("__got"), F.lit(None).cast(left.schema.simpleString()).alias("__row"))
     two = left.select(*by, F.col(on).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(one.schema["__got"].dataType).alias("__got"), F.struct(*left.columns).alias("__row"))
     w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
@@ -28,6 +24,18 @@ def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list
     return filled.select("__row.*", *(F.when(late, F.col(f"__got.{v}")).alias(v) for v in values))
 
 
+def on_dates(left: DataFrame, right: DataFrame, on: str, values: list[str], right_on: str | None = None, tolerance_days: int | None = None) -> DataFrame:
+    """``on`` and ``values``: of each distinct time of the left side, the last right row's at or before it. One window over the times of both, a row each."""
+    right_on = right_on or on
+    one = right.groupBy(F.col(right_on).alias("__t")).agg(F.max(F.struct(*values)).alias("__v"))
+    times = left.select(F.col(on).alias("__t")).distinct().withColumn("__left", F.lit(True))
+    both = times.join(one.withColumn("__at", F.col("__t")), "__t", "full")
+    w = Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__v", F.last(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("at"), F.col("__v").alias("v"))), True).over(w)).where("__left")
+    late = F.lit(True) if tolerance_days is None else F.datediff("__t", "__v.at") <= tolerance_days
+    return both.select(F.col("__t").alias(on), *(F.when(late, F.col(f"__v.v.{v}")).alias(v) for v in values))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, on: str, right_on: str, days: int, values: list[str], by: list[str]) -> DataFrame:
     """Adds the ``values`` of the right row nearest in days, within ``days``; the earlier of two as near. The range is met by buckets of ``days`` and the neighbours of each, so the join is on equality."""
     width = max(1, days)

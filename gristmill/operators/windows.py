@@ -11,9 +11,9 @@ def by() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("bar_no")
 
 
-def clean(bars: DataFrame) -> DataFrame:
-    """Valid bars, numbered by ticker: of repeated dates the last by close stays, high and low hold the close. One shuffle by ticker, which all windows after it reuse."""
-    w = Window.partitionBy("ticker", "date").orderBy(F.col("close").desc_nulls_last())
+def clean(bars: DataFrame, order: str | None = None) -> DataFrame:
+    """Valid bars, numbered by ticker: of repeated dates the last row stays, by the column ``order`` that says in which order rows came (a table has none of its own; without it the largest close stays). High and low hold the close. One shuffle by ticker, which all windows after it reuse."""
+    w = Window.partitionBy("ticker", "date").orderBy(F.col(order or "close").desc_nulls_last())
     good = bars.where("close is not null and not isnan(close) and abs(close) < double('infinity')")
     once = good.repartition("ticker").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     fixed = once.withColumn("high", F.greatest("high", "close")).withColumn("low", F.least("low", "close"))

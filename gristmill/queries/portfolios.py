@@ -144,7 +144,7 @@ QR_SQL = f"{SIGNAL_FWD_SQL}, qb as (select *, (row_number() over (partition by s
 
 def _targets(spark, sf_dir):
     """Equal weights of the names that trade on the execution day, quarter by quarter."""
-    b = bars(spark, sf_dir).where("ticker % 10 < 3")
+    b = bars(spark, sf_dir)
     cal = p.sessions(b)
     dates = p.rebalance_dates(b, "quarterly").withColumnRenamed("date", "signal_date")
     ex = p.executions(dates, cal, 1)
@@ -169,7 +169,7 @@ def turnover_costs(spark, sf_dir):
     return done.select(F.col("session").cast("long").alias("session"), rounded("turnover").alias("turnover"), rounded("traded").alias("traded"), rounded("cost").alias("cost"))
 
 
-BOOK_SQL = f"""{GRID_SQL.replace('from lineitem where', 'from lineitem where l_suppkey % 10 < 3 and').replace("date_trunc('month', date)", "date_trunc('quarter', date)")},
+BOOK_SQL = f"""{GRID_SQL.replace("date_trunc('month', date)", "date_trunc('quarter', date)")},
 onx as (select ex.signal_date, ex.session, own.ticker from ex join own using (session)), ev as (select ticker from onx group by 1 having count(*) >= (select floor(0.6 * count(*)) from ex)),
 tg as (select onx.*, 1.0 / count(*) over (partition by signal_date) as weight from onx join ev using (ticker)),
 sn as (select signal_date, session, lead(session) over (order by session) as nxt, (select max(session) from cal) as fin from ex),

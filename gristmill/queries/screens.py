@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.numbers import rounded
 from gristmill.operators import features, windows
+from gristmill.operators.cross_section import technical_at
 from gristmill.plans import screen as s
 from gristmill.plans.catalog import CATALOG
-from gristmill.sources.tables import BARS_SQL, BENCHMARK_SQL, UNIVERSE_SQL, bars, benchmark, read, universe
+from gristmill.sources.tables import AS_OF, BARS_AS_OF_SQL, BARS_SQL, BENCHMARK_AS_OF_SQL, UNIVERSE_SQL, bars, benchmark, read, universe
 
 NUMBERED = "b as (select *, row_number() over (partition by ticker order by date) as bar_no from bars)"
 LAST = "where date = (select max(date) from bars)"
@@ -26,7 +27,7 @@ def lagged(x: str, n: int) -> str:
     return f"lag({x}, {n}) over (partition by ticker order by bar_no)"
 
 
-FEATURES_SQL = f"""{BARS_SQL}, {NUMBERED},
+ALL_FEATURES_SQL = f"""{BARS_SQL}, {NUMBERED},
 f1 as (select *, {', '.join(f'{full("avg", "close", n)} as sma_{n}' for n in (20, 50, 200))},
  {', '.join(f'(close / {lagged("close", n)} - 1) * 100 as return_{k}_pct' for k, n in (('1m', 21), ('3m', 63), ('6m', 126), ('12m', 252)))},
  ({lagged('close', 21)} / {lagged('close', 252)} - 1) * 100 as return_12m_ex_1m_pct,
@@ -44,18 +45,20 @@ f2 as (select *, {full('avg', 'dv', 20)} / 1e6 as avg_dollar_volume_20d_usd_mn,
  case when sma_50 > sma_200 and {lagged('sma_50', 1)} <= {lagged('sma_200', 1)} then 1.0::double else 0.0::double end as turn, (sma_50 is not null and sma_200 is not null)::int as known from f1),
 f as (select *, case when sum(known) {w(21)} = 21 then max(turn) {w(20)} end as golden_cross_20d from f2)"""
 
+FEATURES_SQL = ALL_FEATURES_SQL.replace(BARS_SQL, BARS_AS_OF_SQL)
+
 NAMES = "price sma_20 sma_50 sma_200 return_1m_pct return_3m_pct return_6m_pct return_12m_pct return_12m_ex_1m_pct high_52w low_52w avg_dollar_volume_20d_usd_mn volatility_20d_pct volatility_60d_pct rel_volume_5d rel_volume_20d max_volume_ratio_20d up_down_volume_ratio_50d price_vs_sma_50_pct price_vs_sma_200_pct sma_50_vs_sma_200_pct sma_200_slope_1m_pct drawdown_from_52w_high_pct above_52w_low_pct golden_cross_20d".split()
 
 
 def frame(spark, sf_dir):
     """The last session's features beside the universe."""
-    f = features.latest(features.technical(bars(spark, sf_dir)))
+    f = technical_at(bars(spark, sf_dir, AS_OF))
     return f.join(universe(spark, sf_dir), "ticker", "left").withColumn("market_cap_usd_bn", F.when(F.col("market_cap") > 0, F.col("market_cap") / 1e9))
 
 
 def chosen(*names):
     def query(spark, sf_dir):
-        f = features.latest(features.technical(bars(spark, sf_dir)))
+        f = technical_at(bars(spark, sf_dir, AS_OF))
         return f.select("ticker", F.col("date").cast("string").alias("date"), *(rounded(n).alias(n) for n in names))
 
     return query
@@ -158,10 +161,10 @@ def bars_weekly(spark, sf_dir):
 
 
 def days_since_high(spark, sf_dir):
-    return features.latest(features.technical(bars(spark, sf_dir))).select("ticker", "days_since_52w_high")
+    return technical_at(bars(spark, sf_dir, AS_OF)).select("ticker", "days_since_52w_high")
 
 
-SINCE_SQL = f"""with {BARS_SQL}, {NUMBERED}, l as (select * from b {LAST}),
+SINCE_SQL = f"""with {BARS_AS_OF_SQL}, {NUMBERED}, l as (select * from b {LAST}),
 x as (select l.ticker, l.bar_no, b.bar_no as k, b.high, count(*) over (partition by l.ticker) as n from l join b on b.ticker = l.ticker and b.bar_no between l.bar_no - 251 and l.bar_no),
 t as (select ticker, bar_no, k, n, row_number() over (partition by ticker order by high desc, k desc) as r from x)
 select ticker, case when n = 252 then (bar_no - k)::double end as days_since_52w_high from t where r = 1"""
@@ -173,18 +176,18 @@ def true_range(spark, sf_dir):
 
 
 def benchmark_strength(spark, sf_dir):
-    f = features.latest(features.against_benchmark(features.technical(bars(spark, sf_dir)), benchmark(spark, sf_dir)))
+    f = technical_at(bars(spark, sf_dir, AS_OF), benchmark(spark, sf_dir, AS_OF))
     return f.select("ticker", *(rounded(c).alias(c) for c in ("rel_strength_3m_pp", "rel_strength_6m_pp", "rel_strength_12m_pp", "beta_1y")))
 
 
-STRENGTH_SQL = f"""with {FEATURES_SQL}, {BENCHMARK_SQL}, g as (select f.*, level from f asof left join benchmark_series bs on f.date >= bs.date),
+STRENGTH_SQL = f"""with {FEATURES_SQL}, {BENCHMARK_AS_OF_SQL}, g as (select f.*, level from f asof left join benchmark_series bs on f.date >= bs.date),
 h as (select *, level / {lagged('level', 1)} - 1 as bret, {', '.join(f'return_{k}_pct - (level / {lagged("level", n)} - 1) * 100 as rel_strength_{k}_pp' for k, n in (('3m', 63), ('6m', 126), ('12m', 252)))} from g),
 i as (select *, case when count(case when ret is not null then bret end) {w(252)} = 252 then covar_samp(ret, bret) {w(252)} / var_samp(case when ret is not null then bret end) {w(252)} end as beta_1y from h)
 select ticker, round(rel_strength_3m_pp, 6) as rel_strength_3m_pp, round(rel_strength_6m_pp, 6) as rel_strength_6m_pp, round(rel_strength_12m_pp, 6) as rel_strength_12m_pp, round(beta_1y, 6) as beta_1y from i {LAST}"""
 
 
 def xs_percentile(spark, sf_dir):
-    f = features.latest(features.technical(bars(spark, sf_dir)))
+    f = technical_at(bars(spark, sf_dir, AS_OF))
     p = windows.percentile_rank("return_6m_pct", missing=None, alone=0.5) * 100
     return f.select("ticker", rounded(p).alias("return_6m_percentile"))
 
@@ -224,7 +227,7 @@ SQL = {
     "bars_weekly": f"with {BARS_SQL}, {NUMBERED} select ticker, cast(date as varchar) as date, round(close, 6) as close, round(greatest(high, close), 6) as high, round(least(low, close), 6) as low, round(volume, 6) as volume, bar_no from b",
     **{k: chosen_sql(*v) for k, v in FAMILIES.items()},
     "days_since_high": SINCE_SQL,
-    "true_range": f"with {FEATURES_SQL} select ticker, cast(date as varchar) as date, round(tr, 6) as tr from f",
+    "true_range": f"with {ALL_FEATURES_SQL} select ticker, cast(date as varchar) as date, round(tr, 6) as tr from f",
     "benchmark_strength": STRENGTH_SQL,
     "xs_percentile": f"with {FEATURES_SQL}, l as (select * from f {LAST}) select ticker, case when return_6m_pct is not null then round(case when count(return_6m_pct) over () = 1 then 50.0 else 100 * ({pct('return_6m_pct')}) end, 6) end as return_6m_percentile from l",
     "feature_coverage": f"with {FEATURES_SQL}, l as (select * from f {LAST}) " + " union all ".join(f"select '{n}' as feature, round(avg(({n} is not null)::int), 6) as share from l" for n in NAMES if n != "price"),

@@ -9,18 +9,18 @@ from gristmill.operators import factors as fa
 from gristmill.operators import recursive, windows
 from gristmill.operators.features import latest
 from gristmill.queries.screens import NUMBERED
-from gristmill.sources.tables import BARS_SQL, UNIVERSE_SQL, bars, read, universe
+from gristmill.sources.tables import AS_OF, BARS_AS_OF_SQL, BARS_SQL, UNIVERSE_SQL, bars, read, universe
 
 DAY = lambda c: F.col(c).cast("string").alias(c)
 
 
-def _indicators(spark, sf_dir):
-    return recursive.indicators(windows.clean(bars(spark, sf_dir)))
+def _indicators(spark, sf_dir, as_of=None):
+    return recursive.indicators(windows.clean(bars(spark, sf_dir, as_of)))
 
 
 def indicator(*names):
     def query(spark, sf_dir):
-        return latest(_indicators(spark, sf_dir)).select("ticker", *(rounded(n).alias(n) for n in names))
+        return latest(_indicators(spark, sf_dir, AS_OF)).select("ticker", *(rounded(n).alias(n) for n in names))
 
     return query
 
@@ -32,10 +32,10 @@ def ema_series(spark, sf_dir):
 END = "where b.date = (select max(date) from bars)"
 EMA_SQL = f"""with recursive {BARS_SQL}, {NUMBERED}, e as (select ticker, bar_no, close as f, close as s from b where bar_no = 1 union all select b.ticker, b.bar_no, f + 2 / 13.0::double * (close - f), s + 2 / 27.0::double * (close - s) from e join b on b.ticker = e.ticker and b.bar_no = e.bar_no + 1),
 l as (select ticker, bar_no, f - s as line from e where bar_no >= 26), g as (select ticker, bar_no, line, line as sig from l where bar_no = 26 union all select l.ticker, l.bar_no, l.line, sig + 0.2::double * (l.line - sig) from g join l on l.ticker = g.ticker and l.bar_no = g.bar_no + 1)"""
-RSI_SQL = f"""with recursive {BARS_SQL}, {NUMBERED}, d as (select ticker, bar_no, date, greatest(close - lag(close) over w, 0) as u, greatest(lag(close) over w - close, 0) as v from b window w as (partition by ticker order by bar_no)),
+RSI_SQL = f"""with recursive {BARS_AS_OF_SQL}, {NUMBERED}, d as (select ticker, bar_no, date, greatest(close - lag(close) over w, 0) as u, greatest(lag(close) over w - close, 0) as v from b window w as (partition by ticker order by bar_no)),
 r as (select ticker, 15::bigint as bar_no, avg(u) as u, avg(v) as v from d where bar_no between 2 and 15 group by ticker having count(*) = 14 union all select d.ticker, d.bar_no, (r.u * 13 + d.u) / 14, (r.v * 13 + d.v) / 14 from r join d on d.ticker = r.ticker and d.bar_no = r.bar_no + 1)
 select b.ticker, case when u + v > 0 then round(100 * u / (u + v), 6) end as rsi_14 from b left join r using (ticker, bar_no) {END}"""
-ATR_SQL = f"""with recursive {BARS_SQL}, {NUMBERED}, t as (select ticker, bar_no, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr from b window w as (partition by ticker order by bar_no)),
+ATR_SQL = f"""with recursive {BARS_AS_OF_SQL}, {NUMBERED}, t as (select ticker, bar_no, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr from b window w as (partition by ticker order by bar_no)),
 r as (select ticker, 14::bigint as bar_no, avg(tr) as a from t where bar_no <= 14 group by ticker having count(*) = 14 union all select t.ticker, t.bar_no, (a * 13 + tr) / 14 from r join t on t.ticker = r.ticker and t.bar_no = r.bar_no + 1)
 select b.ticker, round(a, 6) as atr_14 from b left join r using (ticker, bar_no) {END}"""
 
@@ -53,7 +53,7 @@ LATCH_SQL = "select event_id, coalesce(last_value(case when event_type = 'error'
 
 def _chars(spark, sf_dir):
     """Monthly returns, caps (balance times price) and a characteristic (the mean discount of the month)."""
-    li = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp"))
+    li = read(spark, sf_dir, "lineitem")
     disc = li.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(F.avg("l_discount").alias("char"))
     u = universe(spark, sf_dir).select("ticker", "country", "gics_sector", "market_cap")
     m = fa.monthly_panel(bars(spark, sf_dir)).join(u, "ticker").join(disc, ["ticker", "month"], "left")
@@ -87,7 +87,7 @@ def smb_hml(spark, sf_dir):
 
 CHARS_SQL = f"""{BARS_SQL}, {UNIVERSE_SQL}, ow as (select ticker, cast(date_trunc('month', date) as date) as month, max_by(close, date) as close from bars group by 1, 2),
 gd as (select ticker, cast(unnest(generate_series(min(month), max(month), interval 1 month)) as date) as month from ow group by 1), cr as (select gd.ticker, gd.month, last_value(close ignore nulls) over (partition by gd.ticker order by gd.month rows between unbounded preceding and current row) as carried from gd left join ow on ow.ticker = gd.ticker and ow.month = gd.month),
-di as (select l_suppkey as ticker, cast(date_trunc('month', l_shipdate) as date) as month, avg(l_discount) as char from lineitem where l_shipdate < timestamp '2001-01-01' group by 1, 2),
+di as (select l_suppkey as ticker, cast(date_trunc('month', l_shipdate) as date) as month, avg(l_discount) as char from lineitem group by 1, 2),
 c0 as (select cr.ticker, cr.month, carried, char, gics_sector, case when market_cap > 0 then market_cap * carried end as size from cr join universe using (ticker) left join di on di.ticker = cr.ticker and di.month = cr.month),
 ch as (select *, carried / lag(carried) over (partition by ticker order by month) - 1 as ret, lag(size) over (partition by ticker order by month) as prior_me from c0),
 jn as (select *, year(month) as formation from ch where month(month) = 6 and size > 0 and char is not null), pt as (select formation, count(*) filter (where gics_sector = 'AMERICA') as k, quantile_cont(size, 0.5) filter (where gics_sector = 'AMERICA') as ms, quantile_cont(char, 0.3) filter (where gics_sector = 'AMERICA') as ml, quantile_cont(char, 0.7) filter (where gics_sector = 'AMERICA') as mh, quantile_cont(size, 0.5) as s, quantile_cont(char, 0.3) as l, quantile_cont(char, 0.7) as h from jn group by 1),
@@ -102,7 +102,7 @@ QUERIES = {
 }
 SQL = {
     "rsi_last": RSI_SQL, "atr_last": ATR_SQL, "timing_latch": LATCH_SQL,
-    "macd_last": f"{EMA_SQL} select b.ticker, round(line, 6) as macd_line, case when g.bar_no >= 34 then round(sig, 6) end as macd_signal, case when g.bar_no >= 34 then round(line - sig, 6) end as macd_histogram from b left join g using (ticker, bar_no) {END}",
+    "macd_last": f"{EMA_SQL.replace(BARS_SQL, BARS_AS_OF_SQL)} select b.ticker, round(line, 6) as macd_line, case when g.bar_no >= 34 then round(sig, 6) end as macd_signal, case when g.bar_no >= 34 then round(line - sig, 6) end as macd_histogram from b left join g using (ticker, bar_no) {END}",
     "ema_series": f"{EMA_SQL} select b.ticker, b.bar_no, round(line, 6) as macd_line, case when g.bar_no >= 34 then round(sig, 6) end as macd_signal from b left join g using (ticker, bar_no)",
     "factors_2x3": f"with {CHARS_SQL} select ticker, formation, port from so",
     "vw_portfolios": f"with {CHARS_SQL} select cast(month as varchar) as month, port, round(ret, 6) as ret, n from vw",

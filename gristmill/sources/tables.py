@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BAR_END = "2001-01-01"
+#: The date that cross-sections are taken at: features count bars known by then.
+AS_OF = "2000-12-31"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of each supplier's unit prices: ``ticker, date, close, high, low, volume``. One partial aggregation and one shuffle; only the five columns that it needs are read."""
+def bars(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
+    """Weekly bars of each supplier's unit prices: ``ticker, date, close, high, low, volume``; as_of: only what was traded by the end of that day. One partial aggregation and one shuffle; only the five columns that it needs are read."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(BAR_END).cast("timestamp"))
+    rows = _known(read(spark, sf_dir, "lineitem"), as_of)
     return rows.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
         F.avg(unit).alias("close"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume")
     )
 
 
-def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _known(rows: DataFrame, as_of: str | None) -> DataFrame:
+    """What a point in time knows; a bound on the column itself, so that it reaches the scan."""
+    return rows if as_of is None else rows.where(F.col("l_shipdate") < F.date_add(F.lit(as_of).cast("date"), 1).cast("timestamp"))
+
+
+def benchmark(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
     """``date, level``: the mean unit price of all suppliers by week."""
-    rows = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit(BAR_END).cast("timestamp"))
+    rows = _known(read(spark, sf_dir, "lineitem"), as_of)
     return rows.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("level"))
 
 
@@ -45,9 +51,18 @@ def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same inputs in SQL, as common table expressions.
-BARS_SQL = f"""bars as (select l_suppkey as ticker, cast(date_trunc('week', l_shipdate) as date) as date, avg(l_extendedprice / l_quantity) as close,
+def _bars_sql(known: str) -> str:
+    return f"""bars as (select l_suppkey as ticker, cast(date_trunc('week', l_shipdate) as date) as date, avg(l_extendedprice / l_quantity) as close,
  max(l_extendedprice / l_quantity) as high, min(l_extendedprice / l_quantity) as low, sum(l_quantity) as volume
- from lineitem where l_shipdate < timestamp '{BAR_END}' group by 1, 2)"""
-BENCHMARK_SQL = f"benchmark_series as (select cast(date_trunc('week', l_shipdate) as date) as date, sum(l_extendedprice) / sum(l_quantity) as level from lineitem where l_shipdate < timestamp '{BAR_END}' group by 1)"
+ from lineitem {known} group by 1, 2)"""
+
+
+def _benchmark_sql(known: str) -> str:
+    return f"benchmark_series as (select cast(date_trunc('week', l_shipdate) as date) as date, sum(l_extendedprice) / sum(l_quantity) as level from lineitem {known} group by 1)"
+
+
+KNOWN_SQL = f"where l_shipdate < date '{AS_OF}' + 1"
+BARS_SQL, BARS_AS_OF_SQL = _bars_sql(""), _bars_sql(KNOWN_SQL)
+BENCHMARK_SQL, BENCHMARK_AS_OF_SQL = _benchmark_sql(""), _benchmark_sql(KNOWN_SQL)
 UNIVERSE_SQL = "universe as (select s_suppkey as ticker, s_name as name, r_name as gics_sector, n_name as country, s_acctbal * 1e6 as market_cap from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
 DAILY_SQL = "daily as (select * from (select date, v / lag(v) over (order by date) - 1 as ret from (select cast(o_orderdate as date) as date, sum(o_totalprice) as v from orders group by 1)) where ret is not null)"

@@ -83,7 +83,8 @@ def filled(bars: DataFrame, calendar: DataFrame, tickers: DataFrame | None = Non
     """``ticker, session, px, carried, following, last_session`` for every session from a ticker's first bar on: its price, the last one known, the next one, and the session of its last price."""
     own = bars.join(calendar, "date").select("ticker", "session", F.col("close").alias("px"))
     first = own.groupBy("ticker").agg(F.min("session").alias("first"), F.max("session").alias("last_session"))
-    grid = first.join(calendar.select("session"), F.col("session") >= F.col("first")).select("ticker", "session", "last_session")
+    end = calendar.agg(F.max("session").alias("end"))  # one row
+    grid = first.crossJoin(end).select("ticker", F.explode(F.sequence("first", "end")).alias("session"), "last_session")
     w = Window.partitionBy("ticker").orderBy("session")
     out = grid.join(own, ["ticker", "session"], "left")
     return out.withColumn("carried", F.last("px", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("following", F.first("px", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
@@ -132,10 +133,12 @@ def simulate(targets: DataFrame, bars: DataFrame, costs_bps: float = 10.0, lag:
     calendar = sessions(bars)
     when = executions(targets.select("signal_date").distinct(), calendar, lag).groupBy("session").agg(F.max("signal_date").alias("signal_date"))
     end = calendar.agg(F.max("session").alias("end"))
-    spans = when.withColumn("next", F.lead("session").over(Window.orderBy("session"))).crossJoin(F.broadcast(end)).withColumn("until", F.coalesce("next", "end")).select("signal_date", "session", "until", "next")  # one row beside a row for each rebalance
+    spans = when.withColumn("next", F.lead("session").over(Window.orderBy("session"))).crossJoin(end).withColumn("until", F.coalesce("next", "end")).select("signal_date", "session", "until", "next")  # one row beside a row for each rebalance
     prices = filled(bars, calendar)
     book = targets.join(spans, "signal_date").join(prices.where("px > 0").select("ticker", "session", F.col("px").alias("entry")), ["ticker", "session"]).select("ticker", F.col("session").alias("period"), "until", "next", "entry", "weight")
-    path = book.join(prices, "ticker").where("session >= period and session <= until")
+    # every session gets its periods (an execution ends one and begins one), so that positions meet prices on equality
+    periods = spans.select(F.col("session").alias("period"), F.explode(F.sequence("session", "until")).alias("session"))
+    path = prices.join(periods, "session").join(book, ["ticker", "period"])
     dead = F.col("session") > F.col("last_session")
     path = path.withColumn("growth", F.col("carried") / F.col("entry") * F.when(dead, 1 + delisting_return).otherwise(1.0)).withColumn("dead", dead)
     nav = path.groupBy("period", "until", "next", "session").agg((1 + F.sum(F.col("weight") * (F.col("growth") - 1))).alias("nav"))
@@ -149,7 +152,7 @@ def simulate(targets: DataFrame, bars: DataFrame, costs_bps: float = 10.0, lag:
     done = spans.select(F.col("session").alias("period")).join(done, "period", "left").select(F.col("period").alias("session"), F.coalesce("traded", F.lit(0.0)).alias("traded"))
     done = done.select("session", (F.col("traded") / 2).alias("turnover"), "traded", (F.col("traded") * costs_bps / 1e4).alias("cost"))
     start = spans.agg(F.min("session").alias("start"))
-    days = calendar.join(F.broadcast(start), F.col("session") >= F.col("start")).select("session", "date")
+    days = calendar.crossJoin(start).where("session >= start").select("session", "date")  # one row beside each session
     daily = days.join(gross, "session", "left").join(done.select("session", "cost"), "session", "left")
     g = F.coalesce("gross", F.lit(0.0))
     return daily.select("session", "date", g.alias("gross"), (g - F.coalesce("cost", F.lit(0.0))).alias("net")), done

@@ -14,33 +14,24 @@ from pyspark.sql import types as T
 def ewm(x, alpha: float, least: int = 1):
     """Exponential mean seeded with the first valid value; missing where x is, and until ``least`` values are seen."""
     import numpy as np
+    import pandas as pd
 
-    out, state, seen = np.full(len(x), np.nan), np.nan, 0
-    for i, v in enumerate(x):
-        if np.isfinite(v):
-            state = v if seen == 0 else state + alpha * (v - state)
-            seen += 1
-            if seen >= least:
-                out[i] = state
-    return out
+    valid = pd.Series(x).where(np.isfinite(x))
+    return valid.ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=least).mean().where(valid.notna()).to_numpy()
 
 
 def wilder(x, n: int):
     """Wilder's mean: seeded with the mean of the first n valid values in a row, then 1/n of each new one."""
     import numpy as np
 
-    out, run, state = np.full(len(x), np.nan), 0, None
-    for i, v in enumerate(x):
-        if not np.isfinite(v):
-            run = 0 if state is None else run
-            continue
-        run += 1
-        if state is None:
-            state = float(np.mean(x[i - n + 1 : i + 1])) if run == n else None
-        else:
-            state = (state * (n - 1) + v) / n
-        if state is not None:
-            out[i] = state
+    good = np.isfinite(x)
+    run = np.convolve(good, np.ones(n), "full")[: len(x)] == n if len(x) else good
+    out = np.full(len(x), np.nan)
+    if run.any():
+        k = int(run.argmax())
+        rest = np.where(good, x, np.nan)[k:].copy()
+        rest[0] = x[k - n + 1 : k + 1].mean()
+        out[k:] = ewm(rest, 1 / n)
     return out
 
 
@@ -60,23 +51,50 @@ def true_range(high, low, close):
     return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
 
 
-ADDED = ("rsi_14", "macd_line", "macd_signal", "macd_histogram", "atr_14")
+#: Indicators by name; each from the ones computed before it.
+INDICATORS = {
+    "rsi_14": lambda p: rsi(p["close"]),
+    "macd_line": lambda p: ewm(p["close"], 2 / 13, 12) - ewm(p["close"], 2 / 27, 26),
+    "macd_signal": lambda p: ewm(p("macd_line"), 2 / 10, 9),
+    "macd_histogram": lambda p: p("macd_line") - p("macd_signal"),
+    "macd_histogram_pct_price": lambda p: 100 * p("macd_histogram") / p["close"],
+    "macd_bullish_cross_10d": lambda p: crossed(p("macd_line"), p("macd_signal"), 10),
+    "atr_14": lambda p: wilder(true_range(p["high"], p["low"], p["close"]), 14),
+    "atr_14_pct": lambda p: 100 * p("atr_14") / p["close"],
+}
+
+
+class _Bars(dict):
+    """Columns of a ticker's bars; called with a name, the indicator of that name, computed once."""
+
+    def __call__(self, name: str):
+        if name not in self:
+            self[name] = INDICATORS[name](self)
+        return self[name]
+
+
+def crossed(a, b, n: int):
+    """1 where a rose above b within the last n bars, else 0; missing unless both are known on n + 1 bars."""
+    import numpy as np
+
+    known = np.isfinite(a) & np.isfinite(b)
+    turn = np.zeros(len(a))
+    turn[1:] = (a[1:] > b[1:]) & (a[:-1] <= b[:-1])
+    many = lambda x, k: np.convolve(x, np.ones(k), "full")[: len(x)]
+    return np.where(many(known, n + 1) == n + 1, many(turn, n) > 0, np.nan) if len(a) else turn
 
 
-def indicators(bars: DataFrame) -> DataFrame:
-    """Adds RSI, MACD and ATR to cleaned bars (``ticker, bar_no, close, high, low``)."""
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ADDED)])
+def indicators(bars: DataFrame, names: tuple[str, ...] = ("rsi_14", "macd_line", "macd_signal", "macd_histogram", "atr_14")) -> DataFrame:
+    """Adds the indicators asked for to cleaned bars (``ticker, bar_no, close, high, low``)."""
+    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def one(pdf):
         pdf = pdf.sort_values("bar_no")
-        c, h, low = (pdf[k].to_numpy(float) for k in ("close", "high", "low"))
-        line = ewm(c, 2 / 13, 12) - ewm(c, 2 / 27, 26)
-        signal = ewm(line, 2 / 10, 9)
-        found = (rsi(c), line, signal, line - signal, wilder(true_range(h, low, c), 14))
-        return pdf.assign(**dict(zip(ADDED, found)))
+        found = _Bars({k: pdf[k].to_numpy(float) for k in ("close", "high", "low")})
+        return pdf.assign(**{n: found(n) for n in names})
 
     out = bars.groupBy("ticker").applyInPandas(one, schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ADDED})
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 
 def latch(entry: Column, exit_: Column, priced: Column, keys: str = "ticker", order: str = "bar_no") -> Column:

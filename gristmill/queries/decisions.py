@@ -60,7 +60,7 @@ def ledger_orders(spark, sf_dir):
     """Accounts by region of the ticker's number, rebalanced to equal weights each quarter."""
     b = bars(spark, sf_dir).withColumn("account", (F.col("ticker") % 4).cast("string"))
     dates = portfolio.rebalance_dates(b, "quarterly")
-    days = b.join(F.broadcast(dates), "date").select("account", "date", F.col("ticker").cast("string").alias("ticker"), F.lit(0.05).alias("weight"), F.col("close").alias("price"))
+    days = b.join(dates, "date").select("account", "date", F.col("ticker").cast("string").alias("ticker"), F.lit(0.05).alias("weight"), F.col("close").alias("price"))
     o = ledger.fold(days, 1e6, costs_bps=10.0, min_trade=0.001)
     return o.select("account", F.col("date").cast("string").alias("date"), "ticker", rounded("shares", 4).alias("shares"), rounded("nav", 2).alias("nav"))
 
@@ -69,7 +69,7 @@ def simulate_gaps(spark, sf_dir):
     """Two books over all names, halts and all, rebalanced each quarter."""
     b = bars(spark, sf_dir)
     dates = portfolio.rebalance_dates(b, "quarterly").withColumnRenamed("date", "signal_date")
-    on = b.join(F.broadcast(dates), b.date == dates.signal_date).withColumn("book", (F.col("ticker") % 2).cast("string"))
+    on = b.join(dates, b.date == dates.signal_date).withColumn("book", (F.col("ticker") % 2).cast("string"))
     n = on.groupBy("book", "signal_date").agg(F.count("*").alias("n"))
     targets = on.join(n, ["book", "signal_date"]).select("book", "signal_date", "ticker", (1 / F.col("n")).alias("weight"))
     return book.simulate_gaps(targets, b, 25.0, 1, -0.3).select("book", "session", *(rounded(c).alias(c) for c in ("gross", "net", "turnover")))

@@ -149,7 +149,7 @@ def _targets(spark, sf_dir):
     dates = p.rebalance_dates(b, "quarterly").withColumnRenamed("date", "signal_date")
     ex = p.executions(dates, cal, 1)
     # names that trade on every execution session, so that none is stuck
-    on = b.join(cal, "date").join(F.broadcast(ex), "session")
+    on = b.join(cal, "date").join(ex, "session")
     n = ex.count()  # a few dozen quarters
     ever = on.groupBy("ticker").agg(F.count("*").alias("k")).where(F.col("k") >= int(0.6 * n)).select("ticker")
     rows = on.join(ever, "ticker")

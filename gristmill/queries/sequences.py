@@ -14,19 +14,19 @@ from gristmill.sources.tables import AS_OF, BARS_AS_OF_SQL, BARS_SQL, UNIVERSE_S
 DAY = lambda c: F.col(c).cast("string").alias(c)
 
 
-def _indicators(spark, sf_dir, as_of=None):
-    return recursive.indicators(windows.clean(bars(spark, sf_dir, as_of)))
+def _indicators(spark, sf_dir, names, as_of=None):
+    return recursive.indicators(windows.clean(bars(spark, sf_dir, as_of)), names)
 
 
 def indicator(*names):
     def query(spark, sf_dir):
-        return latest(_indicators(spark, sf_dir, AS_OF)).select("ticker", *(rounded(n).alias(n) for n in names))
+        return latest(_indicators(spark, sf_dir, names, AS_OF)).select("ticker", *(rounded(n).alias(n) for n in names))
 
     return query
 
 
 def ema_series(spark, sf_dir):
-    return _indicators(spark, sf_dir).select("ticker", F.col("bar_no").cast("long").alias("bar_no"), rounded("macd_line").alias("macd_line"), rounded("macd_signal").alias("macd_signal"))
+    return _indicators(spark, sf_dir, ("macd_line", "macd_signal")).select("ticker", F.col("bar_no").cast("long").alias("bar_no"), rounded("macd_line").alias("macd_line"), rounded("macd_signal").alias("macd_signal"))
 
 
 END = "where b.date = (select max(date) from bars)"
@@ -37,7 +37,7 @@ r as (select ticker, 15::bigint as bar_no, avg(u) as u, avg(v) as v from d where
 select b.ticker, case when u + v > 0 then round(100 * u / (u + v), 6) end as rsi_14 from b left join r using (ticker, bar_no) {END}"""
 ATR_SQL = f"""with recursive {BARS_AS_OF_SQL}, {NUMBERED}, t as (select ticker, bar_no, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr from b window w as (partition by ticker order by bar_no)),
 r as (select ticker, 14::bigint as bar_no, avg(tr) as a from t where bar_no <= 14 group by ticker having count(*) = 14 union all select t.ticker, t.bar_no, (a * 13 + tr) / 14 from r join t on t.ticker = r.ticker and t.bar_no = r.bar_no + 1)
-select b.ticker, round(a, 6) as atr_14 from b left join r using (ticker, bar_no) {END}"""
+select b.ticker, round(a, 6) as atr_14, round(100 * a / close, 6) as atr_14_pct from b left join r using (ticker, bar_no) {END}"""
 
 
 def timing_latch(spark, sf_dir):
@@ -97,12 +97,15 @@ PORT = lambda p: f"max(case when port = '{p}' and n >= 3 then ret end)"  # noqa:
 SMB_SQL = f"with {CHARS_SQL} select cast(month as varchar) as month, round(({' + '.join(PORT(f'S/{c}') for c in 'LMH')}) / 3 - ({' + '.join(PORT(f'B/{c}') for c in 'LMH')}) / 3, 6) as smb, round(({PORT('S/H')} + {PORT('B/H')}) / 2 - ({PORT('S/L')} + {PORT('B/L')}) / 2, 6) as hml from vw group by 1"
 
 QUERIES = {
-    "rsi_last": indicator("rsi_14"), "macd_last": indicator("macd_line", "macd_signal", "macd_histogram"), "atr_last": indicator("atr_14"), "ema_series": ema_series, "timing_latch": timing_latch,
+    "rsi_last": indicator("rsi_14"), "macd_last": indicator("macd_line", "macd_signal", "macd_histogram"), "atr_last": indicator("atr_14", "atr_14_pct"), "macd_features": indicator("macd_histogram_pct_price", "macd_bullish_cross_10d"), "ema_series": ema_series, "timing_latch": timing_latch,
     "factors_2x3": factors_2x3, "vw_portfolios": vw_portfolios, "smb_hml": smb_hml,
 }
 SQL = {
     "rsi_last": RSI_SQL, "atr_last": ATR_SQL, "timing_latch": LATCH_SQL,
     "macd_last": f"{EMA_SQL.replace(BARS_SQL, BARS_AS_OF_SQL)} select b.ticker, round(line, 6) as macd_line, case when g.bar_no >= 34 then round(sig, 6) end as macd_signal, case when g.bar_no >= 34 then round(line - sig, 6) end as macd_histogram from b left join g using (ticker, bar_no) {END}",
+    "macd_features": f"""{EMA_SQL.replace(BARS_SQL, BARS_AS_OF_SQL)}, h as (select ticker, bar_no, line, case when bar_no >= 34 then sig end as sig from g), t as (select *, (line > sig and lag(line) over w <= lag(sig) over w)::int as turn from h window w as (partition by ticker order by bar_no)),
+x as (select *, case when count(sig) over (partition by ticker order by bar_no rows between 10 preceding and current row) = 11 then max(coalesce(turn, 0)) over (partition by ticker order by bar_no rows between 9 preceding and current row) end as crossed from t)
+select b.ticker, round(100 * (line - sig) / close, 6) as macd_histogram_pct_price, crossed::double as macd_bullish_cross_10d from b left join x using (ticker, bar_no) {END}""",
     "ema_series": f"{EMA_SQL} select b.ticker, b.bar_no, round(line, 6) as macd_line, case when g.bar_no >= 34 then round(sig, 6) end as macd_signal from b left join g using (ticker, bar_no)",
     "factors_2x3": f"with {CHARS_SQL} select ticker, formation, port from so",
     "vw_portfolios": f"with {CHARS_SQL} select cast(month as varchar) as month, port, round(ret, 6) as ret, n from vw",

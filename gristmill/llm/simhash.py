@@ -8,7 +8,9 @@ stands in its two home cells and looks into the cells one step above (the step b
 finds every pair within the range. In a cell the Manhattan bound is checked first and the Hamming distance after it.
 
 Only distinct fingerprints enter the grid. A cell hands on no more edges than it has members: a forest that spans the
-links found in it. Cells with more than ``CELL`` members are dealt out as pairs of blocks, so that no task holds one whole.
+links found in it. Cells with more than ``CELL`` members, or as many that look in, are dealt out as pairs of blocks, so that no
+task holds one whole. A very long text is hashed in chunks by one task. Equal fingerprints are one node; which of two documents
+comes first doesn't matter, as a component is named by its smallest doc_id. Only doc_id and text are read, so other columns' names don't clash.
 """
 
 from __future__ import annotations
@@ -90,12 +92,15 @@ def grid(fps: DataFrame) -> DataFrame:
 
 
 def _deal(rows: DataFrame, cell: int) -> DataFrame:
-    """Adds ``sub``: cells with more than ``cell`` homes are dealt out as pairs of blocks of them; what looks in goes to each block."""
-    hot = rows.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("cell", F.ceil(F.col("n") / cell).cast("int").alias("r"))
+    """Adds ``sub``: what stands in a cell and what looks in are cut into blocks of ``cell`` each; pairs of home blocks, and of a home block and a block that looks in, are dealt out, so no task holds a cell whole."""
+    size = lambda on: F.greatest(F.lit(1), F.ceil(F.sum(F.when(on, 1).otherwise(0)) / cell)).cast("int")
+    hot = rows.groupBy("cell").agg(F.count("*").alias("n"), size(F.col("home")).alias("r"), size(~F.col("home")).alias("q")).where("r > 1 or q > 1").select("cell", "r", "q")
     dealt = rows.join(hot, "cell", "left")
-    block = "cast(pmod(xxhash64(fp), r) as int)"
+    block, look = "cast(pmod(xxhash64(fp), r) as int)", "cast(pmod(xxhash64(fp, 7), q) as int)"
     pairs = f"transform(sequence(0, r - 1), j -> least(j, {block}) * r + greatest(j, {block}))"
-    return dealt.withColumn("sub", F.expr(f"explode(case when r is null then array(0) when home then {pairs} else transform(sequence(0, r - 1), j -> j * r + j) end)")).drop("r")
+    seen = f"transform(sequence(0, q - 1), j -> r * r + {block} * q + j)"
+    looks = f"transform(sequence(0, r - 1), j -> r * r + j * q + {look})"
+    return dealt.withColumn("sub", F.expr(f"explode(case when r is null then array(0) when home then concat({pairs}, {seen}) else {looks} end)")).drop("r", "q")
 
 
 def _unary(x):

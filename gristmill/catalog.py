@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("screens", "portfolios", "returns", "sequences", "companies", "decisions")
+AREAS = ("screens", "portfolios", "returns", "sequences", "companies", "decisions", "strategies", "values")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,3 +53,55 @@ def spreads(ports: DataFrame, date: str, labels=LABELS["bm"], least: int = 5) ->
     smb = sum((g(f"S/{c}") for c in labels[1:]), g(f"S/{labels[0]}")) / 3 - sum((g(f"B/{c}") for c in labels[1:]), g(f"B/{labels[0]}")) / 3
     high, low = ((g(f"S/{c}") + g(f"B/{c}")) / 2 for c in (labels[2], labels[0]))
     return wide.select(date, smb.alias("smb"), (high - low).alias("spread"))
+
+
+#: Columns of each model, and other names that a column goes by.
+MODELS = {"capm": ("MKT",), "ff3": ("MKT-RF", "SMB", "HML"), "carhart4": ("MKT-RF", "SMB", "HML", "Mom"), "ff5": ("MKT-RF", "SMB", "HML", "RMW", "CMA")}
+ALIASES = {"umd": "Mom", "wml": "Mom", "mom": "Mom", "mktrf": "MKT-RF", "mkt_rf": "MKT-RF", "mkt-rf": "MKT-RF"}
+
+
+def plain_names(factors: DataFrame) -> DataFrame:
+    """Factor columns under the names of the models."""
+    return factors.withColumnsRenamed({c: ALIASES[c.strip().lower()] for c in factors.columns if c.strip().lower() in ALIASES})
+
+
+def held(chars: DataFrame, char: str, labels, exchange: str | None, least: int, monthly: bool = False) -> DataFrame:
+    """Returns of the names of each two-by-three portfolio: formed in June and held for twelve months, or formed by what was known the month before."""
+    if monthly:
+        before = Window.partitionBy("ticker").orderBy("month")
+        late = chars.withColumn("__char_before", F.lag(char).over(before)).withColumn("__size_before", F.lag("size").over(before)).withColumn("formation", F.col("month"))
+        return sort_two_by_three(late, "__size_before", "__char_before", exchange, "formation", labels, least)
+    june = chars.where("month(month) = 6").withColumn("formation", F.year("month"))
+    ports = sort_two_by_three(june, "size", char, exchange, "formation", labels, least).select("ticker", "formation", "port")
+    return chars.withColumn("formation", formation_year("month")).join(ports, ["ticker", "formation"])
+
+
+def factor_returns(chars: DataFrame, columns: dict[str, str], exchange: str | None = None, least: int = 20, thin: int = 5) -> DataFrame:
+    """``month, mkt, smb`` and a spread for each characteristic (bm: hml, op: rmw, inv: cma, mom) that ``columns`` names.
+
+    Chars are ``ticker, month, ret, prior_me, size`` and characteristics. The size factor is the mean over the annual sorts;
+    investment is conservative less aggressive. A market or portfolio of under ``thin`` names is missing, and so is what uses it.
+    """
+    market = value_weighted(chars, "month")
+    out = market.select("month", F.when(F.col("n") >= thin, F.col("ret")).alias("mkt"))
+    sizes = []
+    for kind, char in columns.items():
+        rows = held(chars, char, LABELS[kind], exchange, least, kind == "mom")
+        found = spreads(value_weighted(rows, "month", "port"), "month", LABELS[kind], thin)
+        name = {"bm": "hml", "op": "rmw", "inv": "cma", "mom": "mom"}[kind]
+        spread = -F.col("spread") if kind == "inv" else F.col("spread")
+        out = out.join(found.select("month", F.col("smb").alias(f"__{kind}"), spread.alias(name)), "month", "left")
+        sizes += [F.col(f"__{kind}")] if kind != "mom" else []
+    smb = sum(sizes[1:], sizes[0]) / len(sizes)
+    return out.withColumn("smb", smb).drop(*(f"__{k}" for k in columns))
+
+
+def finer_rate(rates: DataFrame, unit: str) -> DataFrame:
+    """``period, rf``: a daily or monthly riskless rate compounded over each calendar month, quarter or year."""
+    return rates.where("rf is not null").groupBy(F.date_trunc(unit, "date").cast("date").alias("period")).agg((F.product(1 + F.col("rf")) - 1).alias("rf"))
+
+
+def against_official(built: DataFrame, official: DataFrame, name: str, ppy: float = 12.0) -> DataFrame:
+    """How a factor that was built compares with a published one over the dates that both have."""
+    both = built.select("month", F.col(name).alias("a")).join(official.select("month", F.col(name).alias("b")), "month").where("a is not null and b is not null")
+    return both.agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation"), (F.avg("a") * ppy * 100).alias("built_premium_pct"), (F.avg("b") * ppy * 100).alias("official_premium_pct"))

@@ -5,8 +5,12 @@ maximisation estimates how each labeller votes on good and on bad documents and
 votes; documents are first counted by combination (at most 3 to the number of labellers), so all of them count whatever
 their number. Posteriors are then the labels on which a linear scorer over hashed words is fitted, and it scores all texts.
 
-The scorer is fitted on a bounded sample: ``sample`` documents by a hash of the id. Null text is empty and scores like
-other texts without words. An empty table gives an empty result; repeated rows score alike.
+The scorer is fitted on a bounded sample: ``sample`` documents by a hash of the id, and of these as many as have
+``FEATURES`` features together, which is what the driver holds at most (eight bytes each). Scores read whole texts.
+
+Null text is empty and scores like other texts without words. A very long text is one task's, with a number for each distinct word.
+Documents whose ids have one hash are taken in the order of posterior and features. An empty table gives an empty result; repeated
+rows score alike. Only doc_id and text are read, so other columns' names don't clash.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import text_bytes
@@ -25,6 +29,8 @@ from gristmill.llm.quality_rules import measure
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 1 << 16
 SAMPLE = 4000
+#: Features of the sample that reach the driver.
+FEATURES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -123,15 +129,16 @@ def _vectors(batches: Iterator) -> Iterator:
     places = _Places()
     for batch in batches:
         found = [features(t, places) for t in text_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["at", "weight", "posterior", "o"])
+        packed = [[a.astype("<i4").tobytes() for a, _ in found], [w.astype("<f4").tobytes() for _, w in found]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in packed), pa.array([len(a) for a, _ in found], pa.int64()), batch.column(1), batch.column(2)], names=["at", "weight", "n", "posterior", "o"])
 
 
 def train(rows: list, epochs: int = 8, rate: float = 0.5, decay: float = 1e-6):
-    """Logistic regression on (places, weights, posterior), a row at a time with AdaGrad; returns weights, the intercept last."""
+    """Logistic regression on (packed places, packed weights, posterior), a row at a time with AdaGrad; returns weights, the intercept last."""
     import numpy as np
 
     w, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-2)
-    data = [(np.append(np.array(a), BUCKETS), np.append(np.array(x, float), 0.5), y) for a, x, y in rows]
+    data = [(np.append(np.frombuffer(a, "<i4"), BUCKETS), np.append(np.frombuffer(x, "<f4").astype(float), 0.5), y) for a, x, y in rows]
     rng = np.random.default_rng(1)
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
@@ -176,7 +183,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
     near = docs.where(order < F.lit(int(min(1.0, 2 * sample / n) * (1 << 40)))) if n > sample else docs
     posterior = F.create_map(*(F.lit(x) for pair in model.posterior.items() for x in pair))[F.col("votes")]
     chosen = voted(near).select("text", posterior.alias("posterior"), order.alias("o")).orderBy("o").limit(sample)  # the bounded sample
-    rows = chosen.mapInArrow(_vectors, "at array<int>, weight array<float>, posterior double, o long").collect()
+    vectors = chosen.mapInArrow(_vectors, "at binary, weight binary, n long, posterior double, o long")
+    before = F.sum("n").over(Window.orderBy("o", "posterior", "at").rowsBetween(Window.unboundedPreceding, 0))  # over the sample
+    rows = vectors.withColumn("all", before).where(F.col("all") <= FEATURES).collect()
     rows.sort(key=lambda r: (r.o, r.posterior, r["at"]))
     return model, train([(r["at"], r.weight, r.posterior) for r in rows])
 

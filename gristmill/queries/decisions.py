@@ -75,5 +75,28 @@ def simulate_gaps(spark, sf_dir):
     return book.simulate_gaps(targets, b, 25.0, 1, -0.3).select("book", "session", *(rounded(c).alias(c) for c in ("gross", "net", "turnover")))
 
 
-QUERIES = {"strategy_verdicts": strategy_verdicts, "replication_verdicts": replication_verdicts, "idea_scores": idea_scores, "ledger_orders": ledger_orders, "simulate_gaps": simulate_gaps}
-SQL = {"strategy_verdicts": VERDICT_SQL, "replication_verdicts": REPL_SQL, "idea_scores": IDEA_SQL}
+def verdict_caps(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, v.ORDER))
+    found = F.element_at(names, (F.col("p_size") % 5 + 1).cast("int"))
+    return p.select("p_partkey", v.capped(found, F.col("p_partkey") % 4 == 0, F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 3 == 0)).alias("verdict"))
+
+
+CAPS_SQL = """with x as (select p_partkey, p_size % 5 as r, p_partkey % 4 = 0 as l, coalesce(case when p_partkey % 5 <> 0 then p_partkey % 3 = 0 end, false) as s from part)
+select p_partkey, case least(r, case when l then 0 when s then 3 else 4 end) when 0 then 'inconclusive' when 1 then 'likely_spurious' when 2 then 'weak' when 3 then 'promising' else 'robust' end as verdict from x"""
+
+
+def cited_metrics(spark, sf_dir):
+    """Prices cited with one or two decimals, some of them off, as t statistics."""
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 700 - 1).alias("actual"), (F.col("p_partkey") % 3).alias("d"))
+    off = (F.col("p_partkey") % 10) * 0.004 - 0.016
+    cited = F.round((F.col("actual") + off) * 100) / 100
+    return p.select("p_partkey", v.citation(cited, F.col("d"), F.when(F.col("p_partkey") % 7 != 0, F.col("actual")), "t").alias("status"))
+
+
+CITED_SQL = """with p as (select p_partkey as k, p_retailprice / 700 - 1 as a, greatest(p_partkey % 3, 1) as d from part), c as (select *, round((a + ((k % 10) * 0.004 - 0.016)) * 100) / 100 as c from p),
+x as (select *, abs(c - a) <= 0.01 * greatest(abs(c), abs(a)) or abs(sign(a) * floor(abs(a) * 10 ** d + 0.5) / 10 ** d - c) < 1e-9 as near, round(a, 4) = 0 or sign(c) = sign(a) as sgn, (abs(c) >= 1) = (abs(a) >= 1) and (abs(c) >= 2) = (abs(a) >= 2) and (abs(c) >= 3) = (abs(a) >= 3) as side from c)
+select k as p_partkey, case when k % 7 = 0 then 'not_found' when near and sgn and side then 'verified' else 'mismatch' end as status from x"""
+
+QUERIES = {"strategy_verdicts": strategy_verdicts, "replication_verdicts": replication_verdicts, "idea_scores": idea_scores, "ledger_orders": ledger_orders, "simulate_gaps": simulate_gaps, "verdict_caps": verdict_caps, "cited_metrics": cited_metrics}
+SQL = {"strategy_verdicts": VERDICT_SQL, "replication_verdicts": REPL_SQL, "idea_scores": IDEA_SQL, "verdict_caps": CAPS_SQL, "cited_metrics": CITED_SQL}

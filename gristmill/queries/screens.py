@@ -205,6 +205,10 @@ def sector_medians(spark, sf_dir):
     return f.groupBy("gics_sector").agg(*(rounded(F.median(n)).alias(n) for n in ("return_6m_pct", "volatility_60d_pct")), F.count("*").alias("n"))
 
 
+def average_volume(spark, sf_dir):
+    return technical_at(bars(spark, sf_dir, AS_OF)).select("ticker", rounded("average_volume_20d").alias("average_volume_20d"))
+
+
 QUERIES = {
     "screen_topn": screen_topn,
     "screen_funnel": screen_funnel,
@@ -218,8 +222,10 @@ QUERIES = {
     "xs_percentile": xs_percentile,
     "feature_coverage": coverage,
     "sector_medians": sector_medians,
+    "average_volume": average_volume,
 }
 SQL = {
+    "average_volume": f"with {FEATURES_SQL}, g as (select *, {full('avg', 'volume', 20)} as av from f) select ticker, round(av, 6) as average_volume_20d from g {LAST}",
     "screen_topn": TOPN_SQL,
     "screen_funnel": _funnel_sql(),
     "predicate_matrix": PREDICATE_SQL,

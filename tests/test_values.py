@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, strings
-from gristmill.operators import asof, backtest, cross_section, factors, features, pit, windows
+from gristmill.operators import asof, backtest, cross_section, factors, features, pit, verdicts, windows
 from gristmill.sinks import stores
-from gristmill.sources import files
+from gristmill.sources import files, frames
 
 DAY = dt.date(2024, 1, 1)
 
@@ -203,3 +203,34 @@ def test_factor_helpers(spark):
     a = spark.createDataFrame([(k, float(k % 5)) for k in range(20)], "month int, hml double")
     got = factors.against_official(a, a, "hml").first()
     assert (got.n, round(got.correlation, 9)) == (20, 1.0)
+
+
+def test_vendors_bars(spark):
+    rows = [("aapl ", "2024-01-02", 10.0, 12.0, 9.0, 10.0, 5.0, 100.0, 0), ("aapl ", "2024-01-03", 20.0, 22.0, 18.0, 20.0, None, 50.0, 1), ("aapl ", "2024-01-03", 20.0, 22.0, 18.0, 21.0, None, 50.0, 0), ("aapl ", "2024-01-04", 30.0, 33.0, 28.0, 30.0, 30.0, 50.0, 0), ("aapl ", "2024-01-05", 40.0, 40.0, 40.0, float("nan"), None, 1.0, 0)]
+    raw = spark.createDataFrame(rows, "Symbol string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume double, seq int")
+    got = [tuple(r) for r in frames.normalised_bars(raw, order="seq").orderBy("date").collect()]
+    d = dt.date
+    assert got[:3] == [("AAPL", d(2024, 1, 2), 5.0, 6.0, 4.5, 5.0, 100.0, 10.0, 0.0), ("AAPL", d(2024, 1, 3), 20.0, 22.0, 18.0, 20.0, 50.0, 20.0, 0.0), ("AAPL", d(2024, 1, 4), 30.0, 33.0, 28.0, 30.0, 50.0, 30.0, 0.0)]
+    assert got[3][2:4] == (40.0, 40.0) and got[3][5] is None and len(got) == 4
+    flat = raw.where("seq = 1").drop("Symbol", "Adj Close", "seq")
+    assert [tuple(r)[:3] for r in frames.normalised_bars(flat, "X").collect()] == [("X", d(2024, 1, 3), 20.0)]
+    assert frames.normalised_bars(raw.where("false"), order="seq").columns == frames.empty_bars(spark).columns
+
+
+def test_units_and_frames(spark):
+    rows = spark.createDataFrame([("a", 5.0, 2.0), ("b", 5000.0, float("nan"))], "ticker string, capex double, pct double")
+    units = {"capex_ttm": frames.Unit("capex", 1e6, negate=True, low=-1e8), "margin": frames.Unit("pct", 0.01), "none": frames.Unit("zzz")}
+    assert [tuple(r) for r in frames.converted(rows, ["ticker"], units).orderBy("ticker").collect()] == [("a", -5e6, 0.02, None), ("b", None, None, None)]
+    assert units["capex_ttm"].pushed(">=", 2e6) == ("<=", -2.0) and units["margin"].pushed(">", 0.5) == (">", 50.0)
+    keys = spark.createDataFrame([("a",), ("c",), ("a",)], "ticker string")
+    assert [tuple(r) for r in frames.reindexed(rows, keys, ["pct", "more"]).orderBy("ticker").collect()] == [("a", 2.0, None), ("c", None, None)]
+    panel = spark.createDataFrame([(DAY, 1.0), (DAY + dt.timedelta(2), 2.0)], "date date, x double")
+    more = spark.createDataFrame([(DAY, 9.0, 7.0), (DAY + dt.timedelta(1), 9.0, 8.0)], "date date, x double, y double")
+    assert [r.x for r in frames.as_known(panel, "2024-01-02").collect()] == [1.0]
+    assert [tuple(r)[1:] for r in frames.appended(panel, more, ["date"]).orderBy("date").collect()] == [(1.0, 7.0), (None, 8.0), (2.0, None)]
+
+
+def test_citations(spark):
+    at = lambda cited, digits, actual, kind: spark.range(1).select(verdicts.citation(F.lit(cited).cast("double"), F.lit(digits), F.lit(actual).cast("double"), kind).alias("s")).first().s
+    assert at(1.2, 1, 1.2449, "other") == "verified" and at(1.3, 1, 1.2449, "other") == "mismatch" and at(1.0, 1, None, "t") == "not_found"
+    assert at(2.0, 1, 1.96, "t") == "mismatch" and at(2.0, 1, 1.96, "other") == "verified" and at(0.0, 1, 0.04, "other") == "mismatch" and at(-2.1, 1, -2.1, "t") == "verified"

@@ -64,3 +64,30 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert sum(got.values()) == four.count()
     assert five.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
     assert five.count() == cp.run(spark, sf).count()
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    good = lambda k: " ".join(f"word{k}x{j}" for j in range(80)) + ".\nAnd another line here.\nAnd a third one."
+    passage = " ".join(f"shared{j}" for j in range(60))
+    rows = [(k, good(k) + (" " + passage if k % 3 == 0 else ""), "abc"[k % 3]) for k in range(12)]
+    rows += [(None, good(50), "a"), (None, good(51), None), (20, None, "a"), (21, "", "b"), (22, good(3) + " " + passage, None), (1, rows[1][1], "b"), (30, " ".join(f"long{j}" for j in range(60_000)) + ".\nx y\nz w", "c")]
+    extra = {c: cp.F.lit(7) for c in ("shard", "position", "START", "d", "tag", "h", "n", "row", "cell", "size", "starts", "label", "sub", "votes", "failed_bits", "at", "take", "length", "tie")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(extra).withColumn("n_chars", cp.F.length("text").cast("long"))
+    now = docs
+    for k, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, now, "")
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "quality_rules":
+            assert now.where("text is null or text = ''").count() == 0 and now.where("doc_id is null").count() == 2
+        if name == "simhash_near_dedup":
+            assert now.where("doc_id is null").count() == 2 and now.where("doc_id = 1").count() == 1
+        if name == "substring_dedup":
+            assert now.where(f"contains(text, '{passage}')").count() == 1
+        if name != "packing":
+            assert now.select("shard", "START").distinct().collect() == [(7, 7)]
+    assert now.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0, name

@@ -86,8 +86,9 @@ def filled(bars: DataFrame, calendar: DataFrame, tickers: DataFrame | None = Non
     end = calendar.agg(F.max("session").alias("end"))  # one row
     grid = first.crossJoin(end).select("ticker", F.explode(F.sequence("first", "end")).alias("session"), "last_session")
     w = Window.partitionBy("ticker").orderBy("session")
+    back = Window.partitionBy("ticker").orderBy(F.col("session").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a running frame; one that looks ahead is computed anew for each row
     out = grid.join(own, ["ticker", "session"], "left")
-    return out.withColumn("carried", F.last("px", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("following", F.first("px", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return out.withColumn("carried", F.last("px", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("following", F.last("px", True).over(back))
 
 
 def forward_returns(bars: DataFrame, signal_dates: DataFrame, lag: int = 1, delisting_return: float = 0.0) -> DataFrame:

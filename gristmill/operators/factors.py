@@ -16,18 +16,26 @@ def monthly_panel(bars: DataFrame) -> DataFrame:
     return grid.join(own, ["ticker", "month"], "left").withColumn("carried", F.last("close", True).over(w))
 
 
+def quantile(ordered: str, q: float) -> Column:
+    """The q-quantile of a sorted array, between neighbours in proportion. It never leaves their range: a sum of two products may by a bit, and then equal names fall on the wrong side of it."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def sort_two_by_three(rows: DataFrame, size: str = "size", char: str = "char", exchange: str | None = None, by: str = "formation", labels=LABELS["bm"], least: int = 20) -> DataFrame:
     """Adds ``port`` such as S/L or B/H: the median of size, 30 and 70 percent of the characteristic, among the NYSE names where ``least`` of them qualify, else among all. Names need a positive size and a characteristic."""
     ok = rows.where((F.col(size) > 0) & F.col(char).isNotNull() & ~F.isnan(char))
     main = F.upper(F.trim(F.col(exchange))).isin("NYSE", "N", "XNYS") if exchange else F.lit(False)
     ok = ok.withColumn("__main", F.coalesce(main, F.lit(False)))
 
-    def cuts(rows: DataFrame, prefix: str) -> list[Column]:
+    def values(prefix: str) -> list[Column]:
         on = F.col("__main") if prefix == "m" else F.lit(True)
-        return [F.percentile(F.when(on, F.col(size)), 0.5).alias(f"{prefix}s"), F.percentile(F.when(on, F.col(char)), [0.3, 0.7]).alias(f"{prefix}c")]
+        return [F.sort_array(F.collect_list(F.when(on, F.col(x)))).alias(f"{prefix}{n}") for n, x in (("s", size), ("c", char))]
 
-    points = ok.groupBy(by).agg(F.sum(F.col("__main").cast("int")).alias("k"), *cuts(ok, "m"), *cuts(ok, "a"))
-    points = points.select(by, F.when(F.col("k") >= least, F.col("ms")).otherwise(F.col("as")).alias("__s"), F.when(F.col("k") >= least, F.col("mc")).otherwise(F.col("ac")).alias("__c"))
+    points = ok.groupBy(by).agg(F.sum(F.col("__main").cast("int")).alias("k"), *values("m"), *values("a"))
+    points = points.select(by, *(F.when(F.col("k") >= least, F.col(f"m{n}")).otherwise(F.col(f"a{n}")).alias(f"__{n}") for n in "sc"))
+    points = points.select(by, quantile("__s", 0.5).alias("__s"), F.array(quantile("__c", 0.3), quantile("__c", 0.7)).alias("__c"))
     placed = ok.join(points, by)  # a row for each formation
     s = F.when(F.col(size) <= F.col("__s"), "S").otherwise("B")
     c = F.when(F.col(char) <= F.col("__c")[0], labels[0]).when(F.col(char) <= F.col("__c")[1], labels[1]).otherwise(labels[2])

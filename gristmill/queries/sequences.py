@@ -9,7 +9,7 @@ from gristmill.operators import factors as fa
 from gristmill.operators import recursive, windows
 from gristmill.operators.features import latest
 from gristmill.queries.screens import NUMBERED
-from gristmill.sources.tables import AS_OF, BARS_AS_OF_SQL, BARS_SQL, UNIVERSE_SQL, bars, read, universe
+from gristmill.sources.tables import AS_OF, BARS_AS_OF_SQL, BARS_SQL, UNIVERSE_SQL, bars, ordered_means, read, universe
 
 DAY = lambda c: F.col(c).cast("string").alias(c)
 
@@ -53,10 +53,10 @@ LATCH_SQL = "select event_id, coalesce(last_value(case when event_type = 'error'
 
 def _chars(spark, sf_dir):
     """Monthly returns, caps (balance times price) and a characteristic (the mean discount of the month)."""
-    li = read(spark, sf_dir, "lineitem")
-    disc = li.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(F.avg("l_discount").alias("char"))
+    disc = ordered_means(spark, sf_dir, "month", char=F.col("l_discount")).withColumnRenamed("date", "month")
+    weekly = ordered_means(spark, sf_dir, "week", close=F.col("l_extendedprice") / F.col("l_quantity"))
     u = universe(spark, sf_dir).select("ticker", "country", "gics_sector", "market_cap")
-    m = fa.monthly_panel(bars(spark, sf_dir)).join(u, "ticker").join(disc, ["ticker", "month"], "left")
+    m = fa.monthly_panel(weekly).join(u, "ticker").join(disc, ["ticker", "month"], "left")
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker").orderBy("month")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The date that cross-sections are taken at: features count bars known by then.
@@ -22,6 +22,22 @@ def bars(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFram
     )
 
 
+def ordered_means(spark: SparkSession, sf_dir: str, unit: str, **values: Column) -> DataFrame:
+    """``ticker, date`` and the mean of each value over a supplier's lines of a week or month, summed line by line in the order of the table (files by name).
+
+    A mean of doubles depends on the order of its sum in the last bit, which decides on which side of a cut point tied names fall.
+    So the order must not come from how Spark cuts the input. Missing values count for nothing; a window holds one group at a time.
+    """
+    w = Window.partitionBy("ticker", "date").orderBy("__file", "__row")
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc(unit, "l_shipdate")).alias("date"),
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), *(v.alias(n) for n, v in values.items()),
+    )
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    running = lines.select("ticker", "date", *(F.avg(n).over(so_far).alias(n) for n in values), F.lead("__row").over(w).alias("__next"))
+    return running.where("__next is null").drop("__next")
+
+
 def _known(rows: DataFrame, as_of: str | None) -> DataFrame:
     """What a point in time knows; a bound on the column itself, so that it reaches the scan."""
     return rows if as_of is None else rows.where(F.col("l_shipdate") < F.date_add(F.lit(as_of).cast("date"), 1).cast("timestamp"))

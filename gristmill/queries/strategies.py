@@ -12,7 +12,7 @@ from gristmill.operators import features
 from gristmill.operators import metrics as m
 from gristmill.operators import pit
 from gristmill.queries import portfolios, returns, sequences
-from gristmill.sources.tables import BENCHMARK_SQL, bars, benchmark, read
+from gristmill.sources.tables import BENCHMARK_SQL, bars, benchmark, ordered_means, read
 
 DAY = lambda c: F.col(c).cast("string").alias(c)
 
@@ -22,7 +22,7 @@ CHARS = {"bm": ("char", "avg(l_discount)"), "op": ("op", "avg(l_quantity)"), "in
 
 def _panel(spark, sf_dir):
     c = sequences._chars(spark, sf_dir)
-    more = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ticker"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(*(F.expr(x).alias(n) for k, (n, x) in CHARS.items() if k != "bm"))
+    more = ordered_means(spark, sf_dir, "month", op=F.col("l_quantity"), inv=F.col("l_tax")).withColumnRenamed("date", "month")
     w = Window.partitionBy("ticker").orderBy("month")
     momentum = F.lag("carried", 1).over(w) / F.lag("carried", 12).over(w) - 1
     return c.withColumn("mom", momentum).join(more, ["ticker", "month"], "left")

@@ -19,7 +19,7 @@ def one_thread():
     return c
 
 
-@pytest.mark.parametrize("name", ["factors_2x3", "vw_portfolios", "smb_hml", "ff3_factors", "ff5_factors"])
+@pytest.mark.parametrize("name", ["factors_2x3", "vw_portfolios", "smb_hml", "ff3_factors", "ff5_factors", "carhart4_factors"])
 def test_as_sql_where_names_are_tied(spark, one_thread, name):
     assert oracle.same(__spark_entry__.queries()[name](spark, TIED), one_thread, __spark_entry__.oracle_sql()[name])
 

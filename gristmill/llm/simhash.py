@@ -15,7 +15,7 @@ comes first doesn't matter, as a component is named by its smallest doc_id. Only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from gristmill.llm.graph import components
 SEED = 42
 BITS = 3
 CELL = 4096
+#: Shingles that are hashed at once.
+CHUNK = 1 << 14
 EVEN = 0x5555555555555555
 
 
@@ -41,10 +43,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - 1 - np.fromiter(map(len, words), np.int64, len(words)))[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
-    count = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
-        raw = b"".join([xxh64_digest(line[i:j], SEED) for i, j in zip(starts[k : k + (1 << 14)], stops[k : k + (1 << 14)])])
-        count += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return majority(b"".join([xxh64_digest(line[i:j], SEED) for i, j in zip(starts[k : k + CHUNK], stops[k : k + CHUNK])]) for k in range(0, n, CHUNK))
+
+
+def majority(chunks: Iterable[bytes]) -> int:
+    """The fingerprint of hashes of eight bytes, repeats counted: the bits that are set in over half of them."""
+    import numpy as np
+
+    count, n = np.zeros(64, np.int64), 0
+    for raw in chunks:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        count += bits.sum(0, dtype=np.int64)
+        n += len(bits)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 

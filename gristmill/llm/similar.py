@@ -1,9 +1,11 @@
 """SimHash near-duplicates at a similarity of 0.8, for the pipeline.
 
-Texts that share 0.8 of their five-word shingles differ in up to a quarter of the bits of a fingerprint, which no grid over
-64 bits can look up. So the grid's cells come from samples of the shingles: of each of ``CELLS`` orders by hash, the two smallest
-shingles make a cell (at 0.8 two texts share one of eight cells but for three cases in 10,000). A fingerprint's distance rules out no pair
-(one phrase repeated often rules a fingerprint). Within a cell, pairs whose sizes and rarest shingles allow the similarity, and that
+The method is that of ``simhash``, over shingles of five words: fingerprints, the grid over their segments' popcounts, the range of three bits, star
+contraction. Each component of fingerprints so found is a cell. An exact check follows it (one phrase repeated often rules a fingerprint).
+Texts that share 0.8 of their shingles differ in up to a quarter of the bits, though, which no grid over 64 bits can look up. So that
+none of these is lost, further cells come from samples of the shingles: of each of ``CELLS`` orders by hash, the two smallest
+shingles make a cell (at 0.8 two texts share one of eight cells but for three cases in 10,000). A fingerprint's distance rules out no pair.
+Within a cell of either kind, pairs whose sizes and rarest shingles allow the similarity, and that
 would connect more of the cell's members, are verified on the shingles themselves, all of them, by their 64-bit hashes. A cell hands on no more pairs than it has members; cells of one are dropped
 before anything travels, as are all but one of the cells that have the same members, and only texts in other cells are read again for their hashes. Large cells are dealt out as pairs of blocks, of
 ``cell`` texts and about ``HASHES`` hashes each.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, parts, released, text_bytes
 from gristmill.llm.graph import components
-from gristmill.llm.simhash import SEED
+from gristmill.llm.simhash import CHUNK, SEED, links, majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,17 +34,17 @@ CELLS = 8
 CELL = 512
 #: Hashes of shingles in a block of a cell: 8 MB, and some ten times that while its pairs are sought.
 HASHES = 1 << 20
-SCHEMA = "doc_id long, h long, size long, cells array<long>"
+SCHEMA = "doc_id long, h long, size long, fp long, cells array<long>"
 
 
 def sketch(text: bytes, shingle: int = SHINGLE):
-    """Cells and sorted distinct hashes of a text's shingles (A-Z lower-cased)."""
+    """Cells, sorted distinct hashes and fingerprint of a text's shingles (A-Z lower-cased)."""
     import numpy as np
     from xxhash import xxh64_digest
 
     words = text.lower().split()
     if not words:
-        return [0], b""
+        return [0], b"", 0
     line, n = b" ".join(words), max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -55,7 +57,7 @@ def sketch(text: bytes, shingle: int = SHINGLE):
         mixed ^= mixed >> np.uint64(32)
         two = np.sort(np.partition(mixed, 1)[:2] if len(mixed) > 2 else mixed)
         cells.append(int.from_bytes(xxh64_digest(two.tobytes(), k), "little", signed=True))
-    return cells, hashes.tobytes()
+    return cells, hashes.tobytes(), majority(raw[k : k + 8 * CHUNK] for k in range(0, len(raw), 8 * CHUNK))
 
 
 def _sketches(batches: Iterator) -> Iterator:
@@ -64,14 +66,15 @@ def _sketches(batches: Iterator) -> Iterator:
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        h, size, cells = [], [], []
+        h, size, fp, cells = [], [], [], []
         for text in text_bytes(batch.column(1)):
             found = sketch(text)
             h.append(xxh64_intdigest(found[1], 1))
             size.append(len(found[1]) // 8)
+            fp.append(found[2])
             cells.append(found[0])
-        columns = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, size)), pa.array(cells, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "size", "cells"])
+        columns = [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, size, fp)), pa.array(cells, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "size", "fp", "cells"])
 
 
 def _hashes(batches: Iterator) -> Iterator:
@@ -163,7 +166,11 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) ->
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole = cut(narrow.mapInArrow(_sketches, SCHEMA))
     least = whole.groupBy("h").agg(F.min("doc_id").alias("least"))
-    rows = whole.select("h", "size", F.explode("cells").alias("cell")).distinct()
+    found = whole.select("h", "size", "fp").distinct()
+    near = components(links(cut(found.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    alone = F.coalesce("label", "fp")  # texts may share a fingerprint that is near no other
+    near = cut(found.join(near, "fp", "left").select("h", "size", F.xxhash64(F.lit("fp"), alone).alias("cell")))
+    rows = whole.select("h", "size", F.explode("cells").alias("cell")).unionByName(near).distinct()
     # of cells with the same members one is enough: near copies share several, and mostly with each other only
     alike = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.hash("h").cast("long")).alias("s")).where("n > 1")
     full = alike.groupBy("n", "size", "x", "s").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.greatest(F.col("n") / cell, F.col("size") / HASHES)).cast("int").alias("r"))

@@ -1,6 +1,6 @@
 import random
 
-from gristmill.llm import similar
+from gristmill.llm import simhash, similar
 
 
 def shingles(t):
@@ -111,3 +111,24 @@ def test_pairs_of_a_cell_against_brute_force():
             a, b = sorted((least[p], least[q]))
             least = {i: a if x == b else x for i, x in least.items()}
         assert least == true_groups(texts, 0.8)
+
+
+def test_fingerprints_of_the_operator():
+    rng = random.Random(8)
+    for n in (0, 1, 4, 5, 60, 40_000):
+        text = " ".join(rng.choice("abcdefgh") + rng.choice(["", "X"]) for _ in range(n)).encode()
+        assert similar.sketch(text)[2] == simhash.fingerprint(text, 5)
+
+
+def test_grid_of_fingerprints_finds_what_samples_miss(spark):
+    """Pairs at 0.808 with a phrase repeated in both: equal fingerprints, but no cell from samples in common."""
+    texts = {}
+    for k, seed in enumerate((966, 9176, 9515)):
+        word = iter(random.Random(seed).sample(range(10**6), 60))
+        head = [f"w{next(word)}" for _ in range(45)]
+        pair = [" ".join([*head, f"w{next(word)}", *["again"] * 60]) for _ in range(2)]
+        a, b = (set(similar.sketch(t.encode())[0]) for t in pair)
+        assert not a & b
+        texts |= {2 * k: pair[0], 2 * k + 1: pair[1]}
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == true_groups(texts, 0.8) == {i: i - i % 2 for i in texts}

@@ -82,7 +82,7 @@ def twice(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["carhart4_factors", "ff3_factors", "ff5_factors"])
+@pytest.mark.parametrize("name", ["carhart4_factors", "ff3_factors", "ff5_factors", "smb_hml"])
 def test_as_sql_where_cut_points_fall_between_bits(spark, twice, name):
     c = oracle.connect(twice)
     c.execute("set threads = 1")

@@ -21,6 +21,13 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(col(den) > 0, col(num) / col(den))
 
 
+def quotient(num: Column | str, den: Column | str) -> Column:
+    """num / den as SQL has it for doubles: infinite where only den is zero, NaN where both are. Never raises."""
+    n, zero = col(num), col(den) == 0
+    sign = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).when(n == 0, F.lit(float("nan")))
+    return F.when(zero, F.when(F.isnan(n), n).otherwise(sign)).otherwise(n / F.when(~zero, col(den)))
+
+
 def growth_pct(now: Column | str, before: Column | str) -> Column:
     """Growth in percent against a positive base."""
     return (ratio(now, before) - 1) * 100

@@ -9,8 +9,9 @@ LABELS = {"bm": ("L", "M", "H"), "op": ("W", "N", "R"), "inv": ("C", "N", "A"),
 
 
 def monthly_panel(bars: DataFrame) -> DataFrame:
-    """``ticker, month, close, carried``: the last close of each month, and carried over months without one. A ticker's months are a sequence from its first to its last, so nothing is crossed."""
-    own = bars.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close"))
+    """``ticker, month, close, carried``: the last known close of each month, and carried over months without one. A ticker's months are a sequence from its first to its last, so nothing is crossed."""
+    known = F.when(F.col("close").isNotNull(), F.col("date"))
+    own = bars.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by("close", known).alias("close"))
     grid = own.groupBy("ticker").agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
     w = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(own, ["ticker", "month"], "left").withColumn("carried", F.last("close", True).over(w))

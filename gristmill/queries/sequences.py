@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.functions.numbers import rounded
+from gristmill.functions.numbers import quotient, rounded
 from gristmill.operators import factors as fa
 from gristmill.operators import recursive, windows
 from gristmill.operators.features import latest
@@ -54,14 +54,14 @@ LATCH_SQL = "select event_id, coalesce(last_value(case when event_type = 'error'
 def _chars(spark, sf_dir):
     """Monthly returns, caps (balance times price) and a characteristic (the mean discount of the month)."""
     disc = ordered_means(spark, sf_dir, "month", char=F.col("l_discount")).withColumnRenamed("date", "month")
-    weekly = ordered_means(spark, sf_dir, "week", close=F.col("l_extendedprice") / F.col("l_quantity"))
+    weekly = ordered_means(spark, sf_dir, "week", close=quotient("l_extendedprice", "l_quantity"))
     u = universe(spark, sf_dir).select("ticker", "country", "gics_sector", "market_cap")
     m = fa.monthly_panel(weekly).join(u, "ticker").join(disc, ["ticker", "month"], "left")
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker").orderBy("month")
     m = m.withColumn("size", F.when(F.col("market_cap") > 0, F.col("market_cap") * F.col("carried")))
-    return m.withColumn("ret", F.col("carried") / F.lag("carried").over(w) - 1).withColumn("prior_me", F.lag("size").over(w)).withColumn("exchange", F.when(F.col("gics_sector") == "AMERICA", "NYSE").otherwise("OTHER"))
+    return m.withColumn("ret", quotient("carried", F.lag("carried").over(w)) - 1).withColumn("prior_me", F.lag("size").over(w)).withColumn("exchange", F.when(F.col("gics_sector") == "AMERICA", "NYSE").otherwise("OTHER"))
 
 
 def _held(spark, sf_dir):

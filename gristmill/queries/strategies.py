@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.numbers import rounded
+from gristmill.functions.numbers import quotient, rounded
 from gristmill.operators import backtest as bt
 from gristmill.operators import factors as fa
 from gristmill.operators import features
@@ -24,7 +24,7 @@ def _panel(spark, sf_dir):
     c = sequences._chars(spark, sf_dir)
     more = ordered_means(spark, sf_dir, "month", op=F.col("l_quantity"), inv=F.col("l_tax")).withColumnRenamed("date", "month")
     w = Window.partitionBy("ticker").orderBy("month")
-    momentum = F.lag("carried", 1).over(w) / F.lag("carried", 12).over(w) - 1
+    momentum = quotient(F.lag("carried", 1).over(w), F.lag("carried", 12).over(w)) - 1
     return c.withColumn("mom", momentum).join(more, ["ticker", "month"], "left")
 
 

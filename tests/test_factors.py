@@ -87,3 +87,43 @@ def test_as_sql_where_cut_points_fall_between_bits(spark, twice, name):
     c = oracle.connect(twice)
     c.execute("set threads = 1")
     assert oracle.same(__spark_entry__.queries()[name](spark, twice), c, __spark_entry__.oracle_sql()[name])
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """Folders of sf0.01 whose lines lack prices or quantities, so that the last week of a month has no price, or have some that are zero."""
+    import os
+
+    src, made = "/root/testdata/sf0.01", {}
+    nth = lambda n: f"hash(l_orderkey, l_linenumber, l_extendedprice) % {n} = 0"
+    for kind, price, quantity in (("missing", f"case when not {nth(3)} then l_extendedprice end", f"case when not {nth(5)} then l_quantity end"), ("zero", f"case when {nth(4)} then 0 else l_extendedprice end", f"case when {nth(1009)} then 0 else l_quantity end")):
+        d = tmp_path_factory.mktemp(kind)
+        for name in os.listdir(src):
+            if name != "lineitem.parquet":
+                os.symlink(f"{src}/{name}", d / name)
+        c = oracle.connect(src)
+        c.execute("set threads = 1")
+        c.execute(f"copy (select * replace ({price} as l_extendedprice, {quantity} as l_quantity) from lineitem) to '{d}/lineitem.parquet' (format parquet)")
+        made[kind] = str(d)
+    return made
+
+
+@pytest.mark.parametrize("kind", ["missing", "zero"])
+@pytest.mark.parametrize("name", ["ff3_factors"])
+def test_as_sql_where_prices_are_missing_or_zero(spark, odd, kind, name):
+    c = oracle.connect(odd[kind])
+    c.execute("set threads = 1")
+    assert oracle.same(__spark_entry__.queries()[name](spark, odd[kind]), c, __spark_entry__.oracle_sql()[name]) > 70
+
+
+def test_quotient_as_in_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from gristmill.functions.numbers import quotient
+
+    nan, inf = float("nan"), float("inf")
+    pairs = [(n, d) for n in (None, -2.0, 0.0, 3.0, inf, nan) for d in (None, 0.0, -4.0, 5.0, inf, nan)]
+    got = [r[0] for r in spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, n double, d double").orderBy("k").select(quotient("n", F.col("d"))).collect()]
+    want = [duckdb.execute("select ?::double / ?::double", p).fetchone()[0] for p in pairs]
+    assert list(map(repr, got)) == list(map(repr, want))

@@ -109,7 +109,7 @@ def odd(tmp_path_factory):
 
 
 @pytest.mark.parametrize("kind", ["missing", "zero"])
-@pytest.mark.parametrize("name", ["ff3_factors", "ff5_factors"])
+@pytest.mark.parametrize("name", ["ff3_factors", "ff5_factors", "smb_hml"])
 def test_as_sql_where_prices_are_missing_or_zero(spark, odd, kind, name):
     c = oracle.connect(odd[kind])
     c.execute("set threads = 1")
